@@ -100,14 +100,16 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             if out is not None:
                 out.close()
                 temporary, final = f"{base}/.{attempt}-{part:05d}-{len(made):04d}", f"{base}/capture-{part:05d}-{len(made):04d}.warc.gz"
-                fs.move(temporary, final)
+                if fs.get_file_info(final).type != pafs.FileType.NotFound:  # an earlier attempt of this task
+                fs.delete_file(final)
+            fs.move(temporary, final)
                 made.append((final, temporary, captures, written))
             out, written, captures = None, 0, 0
 
         for batch in batches:
             for page, uri, text, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    out = fs.open_output_stream(f"{base}/.{attempt}-{part:05d}-{len(made):04d}")
+                    out = fs.open_output_stream(f"{base}/.{attempt}-{part:05d}-{len(made):04d}", compression=None)
                 data = capture(page, (part << 40) + serial, uri, text.encode("utf-8", "surrogatepass"), digest, refers)
                 serial += 1
                 out.write(data)
@@ -168,7 +170,7 @@ def read_records(archives: DataFrame, payload: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 fs, at = _store(path)
                 rows, held = [], 0
-                with fs.open_input_stream(at) as stream:
+                with fs.open_input_stream(at, compression=None) as stream:
                     for member in _members(stream):
                         rows.append(parse(member, payload))
                         held += len(rows[-1]["payload"] or b"") + 500
