@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, licenses, quality, warc
+from . import bpe, extract, licenses, quality, warc
 from .common import tune
 
 
@@ -33,6 +34,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.round_trip(spark, _table(spark, sf_dir, "pages")))
 
 
+def vocabulary_path() -> str:
+    """Where the tokenizer file lies; WAYMARK_TOKENIZER names another."""
+    if path := os.environ.get("WAYMARK_TOKENIZER"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -41,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scans": op2_license_scans,
     "op3_warc": op3_warc,
+    "op4_bpe": op4_bpe,
     "op5_html_extraction": op5_html_extraction,
 }
