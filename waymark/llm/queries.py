@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, licenses, quality, warc
+from . import bpe, extract, licenses, pii, quality, warc
 from .common import tune
 
 
@@ -51,10 +51,15 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scans": op2_license_scans,
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_html_extraction": op5_html_extraction,
+    "op6_pii": op6_pii,
 }
