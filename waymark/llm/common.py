@@ -133,8 +133,9 @@ class Prefix:
         up, down = self._powers.get(base, (np.ones(1, np.uint64), np.ones(1, np.uint64)))
         if len(up) <= n:
             size = max(n + 1, 2 * len(up))
-            up = np.cumprod(np.concatenate([[1], np.full(size, base, np.uint64)]).astype(np.uint64))
-            down = np.cumprod(np.concatenate([[1], np.full(size, pow(base, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+            one = np.ones(1, np.uint64)
+            up = np.cumprod(np.concatenate([one, np.full(size, base, np.uint64)]))
+            down = np.cumprod(np.concatenate([one, np.full(size, pow(base, -1, 1 << 64), np.uint64)]))
             self._powers[base] = (up, down)
         self.down = down
         self.sums = np.zeros(n + 1, np.uint64)

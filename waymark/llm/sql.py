@@ -15,3 +15,24 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
 FROM q
 """
+
+ORACLES["op10_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN [w[1]]
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2
+), l AS MATERIALIZED (
+  SELECT a, b FROM c WHERE 100 * shared >= 80 * (na + nb - shared)
+  UNION ALL SELECT b, a FROM c WHERE 100 * shared >= 80 * (na + nb - shared)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), m AS (SELECT a, min(b) AS component FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component AS component_id, s.doc_id = m.component AS kept
+FROM s JOIN m ON s.doc_id = m.a
+"""
