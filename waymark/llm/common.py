@@ -72,8 +72,8 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of the batch of about BLOCK_BYTES of text: (rows, UTF-8 bytes, offsets of the rows' texts, one more than rows). A null text is empty."""
+def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of the batch of about size bytes of text: (rows, UTF-8 bytes, offsets of the rows' texts, one more than rows). A null text is empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -86,7 +86,7 @@ def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
     data = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(col):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
