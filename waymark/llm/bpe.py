@@ -336,8 +336,9 @@ def decode(encoded: DataFrame, lexicon: str) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digest(docs: DataFrame, lexicon: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes each row in one task and returns the digests of both, so that no ids are moved."""
+def digest(docs: DataFrame, lexicon: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """Encodes and decodes each row in one task and returns the digests of both; the ids too, if asked for."""
+    with_ids = ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(lexicon)
@@ -345,19 +346,21 @@ def digest(docs: DataFrame, lexicon: str, doc_id: str = "doc_id", text: str = "t
             texts = [t or "" for t in batch["text"]]
             for first, some in _chunks(texts):
                 ids = codec.encode(some)
+                more = {"ids": [x.view(np.int32) for x in ids]} if with_ids else {}
                 yield pd.DataFrame(
                     {
                         "doc_id": batch["doc_id"].iloc[first : first + len(some)].astype("Int64").array,
                         "n_tokens": [len(x) for x in ids],
                         "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
                         "decoded_sha256": [hashlib.sha256(codec.decode(x.astype(np.int64)).encode()).hexdigest() for x in ids],
+                        **more,
                     }
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, DIGEST)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, DIGEST + (", ids array<int>" if with_ids else ""))
 
 
-def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
-    """Counts, compiles, encodes and decodes: the digests of every row."""
+def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS, ids: bool = False) -> DataFrame:
+    """Counts, compiles, encodes and decodes: the digests of every row, and its ids if asked for."""
     special = Vocabulary(vocabulary).special
-    return digest(docs, publish(docs.sparkSession, vocabulary, frequent_words(docs, special, words, text)), doc_id, text)
+    return digest(docs, publish(docs.sparkSession, vocabulary, frequent_words(docs, special, words, text)), doc_id, text, ids)
