@@ -1,0 +1 @@
+"""Waymark: place-retrieval analytics on Spark DataFrames."""
