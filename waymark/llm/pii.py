@@ -140,17 +140,24 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int
         left = F.substring("text", F.greatest(e["start"] - reach, F.lit(0)) + 1, F.least(e["start"], F.lit(reach)))
         return F.struct(F.xxhash64(e["kind"], e["value"]).alias("entity"), F.lower(F.concat(left, F.lit(" | "), F.substring("text", e["end"] + 1, F.lit(reach)))).alias("window"))
 
-    return t.select("doc_id", "key", "spans", F.transform("spans", context).alias("contexts"))
+    return t.select("doc_id", "key", F.xxhash64("text").alias("copy"), "spans", F.transform("spans", context).alias("contexts"))
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
 
 
-def co_occurring(scanned: DataFrame, contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(term, entity, both): terms that stand near an entity in enough different contexts."""
-    near = scanned.select(F.explode("contexts").alias("c")).select("c.entity", F.xxhash64("c.window").alias("context"), F.explode(_terms(F.col("c.window"))).alias("term"))
-    return near.distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= contexts)
+def co_occurring(scanned: DataFrame, contexts: int = MIN_CONTEXTS, share: float = MIN_SHARE) -> DataFrame:
+    """(term, entity, both): terms that stand near an entity in enough different contexts.
+
+    The texts in which a term stands near any entity are some of those that hold it, so a term whose share of these is too
+    small cannot reveal the entity, and common words go before all texts are searched."""
+    near = written(
+        scanned.select("copy", F.explode("contexts").alias("c")).select("copy", "c.entity", F.xxhash64("c.window").alias("context"), F.explode(_terms(F.col("c.window"))).alias("term"))
+    )
+    texts = near.select("term", "copy").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    together = near.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= contexts)
+    return together.join(texts, "term").where(F.col("both") >= share * F.col("n_near")).select("term", "entity", "both")
 
 
 def term_hits(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
