@@ -7,8 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x)

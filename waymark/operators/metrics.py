@@ -84,11 +84,11 @@ def global_average(meters: DataFrame) -> DataFrame:
 def eta(steps: DataFrame, total: int) -> DataFrame:
     """(run, step, iter_time, eta, elapsed) of (run, step, ts): seconds of a step, those left at the running mean, and those gone."""
     w = W.partitionBy("run").orderBy("step")
-    t = F.unix_micros("ts") / 1e6
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     took = t - F.lag(t).over(w)
     out = steps.withColumn("iter_time", took)
     mean = F.avg("iter_time").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return out.select("run", "step", "iter_time", (mean * (F.lit(total) - F.col("step"))).alias("eta"), (F.unix_micros("ts") / 1e6 - F.min(F.unix_micros("ts") / 1e6).over(W.partitionBy("run"))).alias("elapsed"))
+    return out.select("run", "step", "iter_time", (mean * (F.lit(total) - F.col("step"))).alias("eta"), (t - F.min(t).over(W.partitionBy("run"))).alias("elapsed"))
 
 
 def ring_buffer(rows: DataFrame, order: str, size: int) -> DataFrame:

@@ -1,20 +1,16 @@
-"""The relations that operators take and give."""
+"""The relations that operators take and give, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-IMAGES = T.StructType.fromDDL("image_id BIGINT, role STRING, path STRING, filename STRING, utm_east DOUBLE, utm_north DOUBLE, heading DOUBLE")
-DESCRIPTIONS = T.StructType.fromDDL("image_path STRING, description STRING")
-DESCRIPTORS = T.StructType.fromDDL("image_id BIGINT, path STRING, metadata STRUCT<path: STRING, filename: STRING, size: STRUCT<w: INT, h: INT>, mode: STRING>, embedding ARRAY<FLOAT>, model STRING")
-POSITIVES = T.StructType.fromDDL("query_id BIGINT, db_id BIGINT")
-PREDICTIONS = T.StructType.fromDDL("query_id BIGINT, rank INT, db_id BIGINT, distance DOUBLE")
-METRICS = T.StructType.fromDDL("meter STRING, step BIGINT, value DOUBLE, n BIGINT")
+IMAGES = ("image_id BIGINT, role STRING, path STRING, filename STRING, utm_east DOUBLE, utm_north DOUBLE, heading DOUBLE")
+DESCRIPTIONS = ("image_path STRING, description STRING")
+DESCRIPTORS = ("image_id BIGINT, path STRING, metadata STRUCT<path: STRING, filename: STRING, size: STRUCT<w: INT, h: INT>, mode: STRING>, embedding ARRAY<FLOAT>, model STRING")
+POSITIVES = ("query_id BIGINT, db_id BIGINT")
+PREDICTIONS = ("query_id BIGINT, rank INT, db_id BIGINT, distance DOUBLE")
+METRICS = ("meter STRING, step BIGINT, value DOUBLE, n BIGINT")
 #: One line of a batch prediction file.
-PREDICTION_LINE = T.StructType.fromDDL(
-    "request STRUCT<contents: ARRAY<STRUCT<role: STRING, parts: ARRAY<STRUCT<file_data: STRUCT<file_uri: STRING, mime_type: STRING>, text: STRING>>>>>, "
-    "response STRUCT<candidates: ARRAY<STRUCT<content: STRUCT<parts: ARRAY<STRUCT<text: STRING>>>>>>"
-)
+PREDICTION_LINE = ("request STRUCT<contents: ARRAY<STRUCT<role: STRING, parts: ARRAY<STRUCT<file_data: STRUCT<file_uri: STRING, mime_type: STRING>, text: STRING>>>>>, "
+    "response STRUCT<candidates: ARRAY<STRUCT<content: STRUCT<parts: ARRAY<STRUCT<text: STRING>>>>>>")
 #: Annotation files, by set.
 ANNOTATIONS = {
     "caption_train": "image STRING, caption STRING, image_id STRING",
