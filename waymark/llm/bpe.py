@@ -27,6 +27,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import objects
+
 #: Fixed value: the pattern that byte-level BPE splits text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words in the lexicon at most; the rest is merged.
@@ -206,9 +208,9 @@ def frequent_words(docs: DataFrame, special: dict[str, int], limit: int = LEXICO
             for t in batch["text"]:
                 seen.update(words(t or ""))
                 if len(seen) > CACHE_WORDS:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    yield pd.DataFrame({"word": objects(seen), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        yield pd.DataFrame({"word": objects(seen), "n": list(seen.values())})
 
     counts = docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = counts.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(limit).select("word").collect()
@@ -316,7 +318,7 @@ def encode(docs: DataFrame, lexicon: str, doc_id: str = "doc_id", text: str = "t
             texts = [t or "" for t in batch["text"]]
             for first, some in _chunks(texts):
                 ids = [x.view(np.int32) for x in codec.encode(some)]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[first : first + len(some)].astype("Int64"), "ids": ids})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[first : first + len(some)].astype("Int64").array, "ids": objects(ids)})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
 
@@ -328,7 +330,7 @@ def decode(encoded: DataFrame, lexicon: str) -> DataFrame:
         codec = _codec(lexicon)
         for batch in batches:
             text = [None if x is None else codec.decode(np.asarray(x, np.int64)) for x in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": text})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": objects(text)})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
@@ -346,13 +348,13 @@ def digest(docs: DataFrame, lexicon: str, doc_id: str = "doc_id", text: str = "t
             texts = [t or "" for t in batch["text"]]
             for first, some in _chunks(texts):
                 ids = codec.encode(some)
-                more = {"ids": [x.view(np.int32) for x in ids]} if with_ids else {}
+                more = {"ids": objects(x.view(np.int32) for x in ids)} if with_ids else {}
                 yield pd.DataFrame(
                     {
                         "doc_id": batch["doc_id"].iloc[first : first + len(some)].astype("Int64").array,
                         "n_tokens": [len(x) for x in ids],
-                        "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
-                        "decoded_sha256": [hashlib.sha256(codec.decode(x.astype(np.int64)).encode()).hexdigest() for x in ids],
+                        "ids_sha256": objects(hashlib.sha256(x.tobytes()).hexdigest() for x in ids),
+                        "decoded_sha256": objects(hashlib.sha256(codec.decode(x.astype(np.int64)).encode()).hexdigest() for x in ids),
                         **more,
                     }
                 )

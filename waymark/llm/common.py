@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def objects(values) -> pd.Series:
+    """A column of Python values as they are: strings of any length, none in chunks."""
+    return pd.Series(list(values), dtype=object)
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """Tells apart rows that share an id but not the text; equal rows share it."""
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))

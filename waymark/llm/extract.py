@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import objects
+
 #: Elements whose text is no text of the page.
 SKIPPED = set("script style noscript template iframe object embed svg math canvas audio video head select button textarea".split())
 #: Elements that hold no content of the article.
@@ -177,6 +179,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text = ["\n\n".join(content(h)) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": [len(x) for x in text]})
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64").array, "url": objects(batch["url"]), "text": objects(text), "n_chars": [len(x) for x in text]})
 
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, SCHEMA)

@@ -107,6 +107,11 @@ def evaluate(expression: str) -> tuple[set[str], bool] | None:
     return stack[0]
 
 
+def _identifier(token: str) -> bool:
+    """Known, a reference, or built like one: prose after an expression is not."""
+    return token.rstrip("+") in IDENTIFIERS or token.startswith(("licenseref-", "documentref-")) or bool(re.search(r"-.*[0-9]|[0-9].*-", token))
+
+
 def _expression_at(line: str) -> str:
     """The longest start of line that reads as an expression: operands and operators take turns."""
     taken, depth, operand_next, end = [], 0, True, 0
@@ -120,7 +125,7 @@ def _expression_at(line: str) -> str:
             depth += 1
         elif token == ")" and not operand_next and depth:
             depth -= 1
-        elif token not in _PRECEDENCE and token not in "()" and operand_next:
+        elif token not in _PRECEDENCE and token not in "()" and operand_next and (_identifier(token) or taken[-1:] and taken[-1].lower() == "with"):
             operand_next = False
         else:
             break
@@ -185,10 +190,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             rows = [scanner.scan(t) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=names[1:])
+            out = pd.DataFrame(rows, columns=names[1:], dtype=object)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            for c in ("doc_id", "first_word", "last_word"):
+            for c in ("doc_id", "n_words", "n_base", "first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
+            out["score"] = out["score"].astype("float64")
             yield out
 
     from pyspark.sql import functions as F
