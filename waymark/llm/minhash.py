@@ -5,9 +5,10 @@ to a whole power of BASE. Registers merge by their maximum, and two sets agree i
 their Jaccard similarity. Bands of registers propose pairs, the joint maximum-likelihood estimate from registers that are
 equal, larger and smaller discards those far below the threshold, and the full sets decide.
 
-Equal sets form a class, of which one member goes on. A bucket proposes its members to its first member only; components
-follow, and only buckets that still hold several components propose the pairs between those. So a bucket of copies costs its
-size, and no link between different sets is lost but by the bands (see MISS).
+Equal sets form a class, of which one member goes on. A bucket proposes its members to its most central member only;
+components follow, and only buckets that still hold several components propose the pairs between those, and of these only pairs
+that sizes, shingles without a partner and registers allow. So a bucket of copies costs its size, and no link between different
+sets is lost but by the bands and the estimate's margin (see miss() and MARGIN).
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle has
 the whole sequence as its one shingle; rows that repeat an id are one document; a null id is linked with nothing, has a null
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE_A, blocks, lowered, mixed, word_bounds, word_hashes, written
@@ -32,8 +33,8 @@ BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 #: Registers are truncated to 0 .. LIMIT.
 SHIFT, LIMIT = 4096, 32767
-#: A pair whose estimate is so far below the threshold (about 7 standard deviations at REGISTERS) is no candidate.
-MARGIN = 0.2
+#: A pair whose estimate is so far below the threshold (5 standard deviations at REGISTERS) is no candidate.
+MARGIN = 0.13
 #: Ids that may be broadcast to pick the texts to verify; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -105,6 +106,15 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
 
 
+def _keys(registers: np.ndarray) -> np.ndarray:
+    """The key of each band of each row of registers."""
+    k = registers.reshape(len(registers), BANDS, ROWS).astype(np.uint64)
+    keys = np.zeros((len(registers), BANDS), np.uint64) + _BAND
+    for j in range(ROWS):
+        keys = mixed(keys + k[:, :, j] * _ROW[j])
+    return keys
+
+
 def band_keys(reps: DataFrame) -> DataFrame:
     """(key, id) for each band of each representative."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
@@ -113,10 +123,7 @@ def band_keys(reps: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            k = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int16).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
-            keys = np.zeros((len(batch), BANDS), np.uint64) + _BAND
-            for j in range(ROWS):
-                keys = mixed(keys + k[:, :, j] * _ROW[j])
+            keys = _keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int16).reshape(len(batch), REGISTERS))
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], schema=schema)
 
@@ -185,6 +192,53 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _members(reps: DataFrame, ids: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(id, n, u, s, keys) of the representatives in ids: size, shingles that no other of them has, registers and band keys.
+
+    With their own shingles set aside, two sets share at most the smaller rest, which bounds their similarity."""
+    count = ids.count()
+    few = F.broadcast(ids) if count <= BROADCAST_IDS else ids
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null").join(few, "id", "left_semi")
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, "text", 1 << 19):
+                sets = list(shingles(data, offsets, width))
+                who = np.repeat(rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
+
+    own = texts.mapInArrow(explode, "id long, h long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                k = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int16).reshape(len(batch), REGISTERS)
+                keys = _keys(k).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (k, keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], schema=out)
+
+    some = reps.select("id", "n", "sketch").join(few, "id", "left_semi").mapInArrow(unpack, "id long, n long, s array<short>, keys array<long>")
+    return some.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+
+
+def _possible(percent: int, threshold: float) -> Column:
+    """Whether sides a and b of a join can be similar enough, and meet in their first common band; cheap tests come first."""
+    lo, hi = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    most = F.least(F.col("a.n") - F.col("a.u"), F.col("b.n") - F.col("b.u"))
+    equal = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, e: t + e)
+    before = F.array_position("a.keys", F.col("a.key")).cast("int") - 1
+    return (
+        (F.col("a.id") < F.col("b.id"))
+        & (F.col("a.comp") != F.col("b.comp"))
+        & (100 * lo >= percent * hi)
+        & (100 * most >= percent * (lo + hi - most))
+        & (equal(F.col("a.s"), F.col("b.s")) >= int(REGISTERS * (threshold - MARGIN)))
+        & (equal(F.slice("a.keys", F.lit(1), before), F.slice("b.keys", F.lit(1), before)) == 0)
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, component) for each row of docs."""
     sk = written(sketches(docs, width, doc_id, text))
@@ -193,10 +247,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     member = written(sk.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", "f1", "f2", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
     reps = written(member.where("sketch is not null").select(F.col("doc_id").alias("id"), "n", "f1", "f2", "sketch").dropDuplicates(["id", "f1", "f2", "n"]))
     bands = written(band_keys(reps))
-    crowd = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    crowded = written(bands.join(crowd, "key").select("key", "a", F.col("id").alias("b")))
+    crowd = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("m")).where("a < z").select("key", "m")
+    crowded = written(bands.join(crowd, "key"))
+    # A bucket's first member is the one that meets most others in all its buckets: of near copies, the one nearest to all.
+    degree = crowded.groupBy("id").agg(F.sum("m").alias("d"))
+    ranked = crowded.select("key", "id").join(degree, "id")
+    first = ranked.groupBy("key").agg(F.max_by("id", F.struct("d", -F.col("id"))).alias("first"))
+    stars = written(crowded.select("key", "id").join(first, "key").where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct())
     threshold = percent / 100
-    stars = written(crowded.where("a < b").select("a", "b").distinct())
     links = confirmed(written(plausible(stars, reps, threshold)), docs, width, percent, doc_id, text)
     # An id that stands for several sets links them; a document's row links to its class's representative.
     same = member.where("rep is not null and rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -204,15 +262,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     same = same.join(several, F.col("b") == F.col("doc_id"), "left_semi")
     label = components(links.unionByName(same))
     # What is left: pairs of different components in one bucket, but for those tested already.
-    comp = label.select(F.col("id").alias("b"), "comp")
-    at = crowded.select("key", "b").join(comp, "b", "left").select("key", "b", F.coalesce("comp", "b").alias("comp"))
-    at = written(at.distinct())
+    at = written(crowded.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")).distinct())
     mixed_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     left = written(at.join(mixed_keys, "key", "left_semi"))
-    x = left.select("key", F.col("b").alias("a"), F.col("comp").alias("ca"))
-    y = left.select("key", "b", F.col("comp").alias("cb"))
-    cross = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(plausible(written(cross), reps, threshold))
+    ids = written(left.select("id").distinct())
+    left = written(left.join(_members(reps, ids, docs, width, doc_id, text), "id"))
+    cross = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & _possible(percent, threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    more = written(plausible(written(cross.distinct().join(stars, ["a", "b"], "left_anti")), reps, threshold))
     if not more.isEmpty():
         label = components(confirmed(more, docs, width, percent, doc_id, text), label)
     out = member.select("doc_id", "n", "rep").join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
