@@ -147,14 +147,15 @@ def settle(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     """(rows whose windows all repeat, rows that go on). keep_first: the earliest row of equal ones is not counted as repeating."""
     rows = written(rows)
     token = F.xxhash64("doc_id", "key", "pos")
-    shared = rows.groupBy("h").agg(F.min(token).alias("lo"), F.max(token).alias("hi")).where("lo <> hi").select("h")
+    # Written: a side that ends in an aggregation would keep adaptive execution from splitting the join's hot partitions.
+    shared = written(rows.groupBy("h").agg(F.min(token).alias("lo"), F.max(token).alias("hi")).where("lo <> hi").select("h"))
     rows = written(rows.join(shared, "h", "left_semi"))
     groups = written(rows.groupBy("h", "c").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")))
-    several = groups.where("first <> last").select("h", "c", "first")
+    several = written(groups.where("first <> last").select("h", "c", "first"))
     hit = rows.join(several, ["h", "c"])
     if keep_first:
         hit = hit.where(_place() != F.col("first"))
-    split = groups.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    split = written(groups.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
     left = groups.join(split, "h", "left_semi").select("h", "first.*")
     return hit.select("doc_id", "key", "pos"), left
 
