@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import schema
 from ..functions import paths, text
 from ..operators import lookup, metrics
 from ..sources import annotations, sinks, tables
+from ..streaming import streams
 from . import query
 from . import relations as R
 
@@ -199,3 +202,15 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = R.table(spark, sf_dir, "embeddings").where("vec_id < 50")
     preds = F.array(F.lit("p1"), F.lit("p2"), F.lit("p3"))
     return q.select(paths.report_name(F.col("vec_id")).alias("name"), sinks.report(F.concat(F.lit("q"), F.col("vec_id")), preds).alias("value"))
+
+
+@query(
+    """SELECT event_type AS meter, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, round(avg(value), 6) AS avg, round(max(value), 6) AS max, count(*) AS n FROM events GROUP BY 1, 2"""
+)
+def stream_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events read as a stream, in hourly windows."""
+    s = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    windows = streams.windowed_meters(s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("meter"), "value"), late="3650 days")
+    name = f"meters_{uuid.uuid4().hex}"
+    windows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("meter", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("avg", 6).alias("avg"), F.round("max", 6).alias("max"), "n")

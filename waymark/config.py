@@ -128,3 +128,26 @@ def save_ini(config: GeoConfig, path: str, section: str = "analyzer") -> None:
     parser[section] = {k: str(v) for k, v in dataclasses.asdict(config).items()}
     with open(path, "w", encoding="utf-8") as f:
         parser.write(f)
+
+
+def load_yaml(path: str, base: RetrievalConfig = RetrievalConfig()) -> RetrievalConfig:
+    """base with the fields of a YAML file; needs the yaml package."""
+    import yaml
+
+    values = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    if "supported_formats" in values:
+        values["supported_formats"] = tuple(values["supported_formats"])
+    return dataclasses.replace(base, **values)
+
+
+def resolve(preset: str | None = None, file: str | None = None, **overrides: Any) -> RetrievalConfig:
+    """A preset before a file before the defaults; overrides that are not None win."""
+    if preset is not None and preset not in PRESETS:
+        raise ValueError(f"unknown preset: {preset}")
+    if preset is not None:
+        base = PRESETS[preset]
+    elif file is not None:
+        base = load_yaml(file) if file.endswith((".yaml", ".yml")) else load_json(file)
+    else:
+        base = RetrievalConfig()
+    return dataclasses.replace(base, **{k: v for k, v in overrides.items() if v is not None})
