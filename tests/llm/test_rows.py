@@ -93,6 +93,7 @@ def test_extraction():
     plain = "<html><body><ul><li><a href=x>Home</a></li><li><a href=y>More</a></li></ul><h1>Head</h1><p>" + "long text here " * 20 + "</p><p>short</p><p>" + "other text " * 20 + "</p><footer>f</footer></body></html>"
     blocks = extract.content(plain)
     assert blocks[0] == "Head" and "short" in blocks and "Home" not in blocks and "f" not in blocks
+    assert extract.content("<html><head><title>T</title><body><article><p>kept text</p><button>b<p>too</p></article>") == ["kept text", "too"]
     for broken in (None, "", "<", "<p", "<<<>>>", "</p></div>", "<p>&#xZZ;&#99999999;</p>", "<script>x", "<!-- x"):
         extract.content(broken)
 

@@ -24,6 +24,8 @@ from .common import objects
 
 #: Elements whose text is no text of the page.
 SKIPPED = set("script style noscript template iframe object embed svg math canvas audio video head select button textarea".split())
+#: Those that hold no blocks, so a block after one that was not closed ends it.
+LIGHT = set("head button select textarea".split())
 #: Elements that hold no content of the article.
 OUTSIDE = set("nav header footer aside form menu dialog fieldset".split())
 #: Elements that end a block.
@@ -81,6 +83,8 @@ class Lines(HTMLParser):
             self.parts = []
 
     def handle_starttag(self, tag, attrs) -> None:
+        if self.skipped and self.skip_name in LIGHT and (tag in BLOCKS or tag == "body"):  # its end tag is missing
+            self.skipped = 0
         if self.skipped:
             self.skipped += tag == self.skip_name
             return
