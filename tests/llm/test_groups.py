@@ -76,6 +76,13 @@ def test_near_duplicates_against_brute_force(docs, width, percent):
     assert len(alone) == 1 and alone[0].component_id is None and alone[0].kept
 
 
+def test_buckets_in_blocks_have_the_same_links(docs, monkeypatch):
+    texts = near_copies(np.random.default_rng(9), 4)
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 3)
+    rows = minhash.near_duplicates(docs(texts), 2, 80).collect()
+    assert {r.doc_id: r.component for r in rows} == components(texts, 2, 80)
+
+
 def test_one_of_each(docs):
     d = docs([(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "other words that stand here alone"), (2, "other words that stand here alone"), (4, None), (5, None)])
     left = minhash.one_of_each(d)

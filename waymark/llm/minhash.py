@@ -6,9 +6,9 @@ their Jaccard similarity. Bands of registers propose pairs, the joint maximum-li
 equal, larger and smaller discards those far below the threshold, and the full sets decide.
 
 Equal sets form a class, of which one member goes on. A bucket proposes its members to its most central member only;
-components follow, and only buckets that still hold several components propose the pairs between those, and of these only pairs
-that sizes, shingles without a partner and registers allow. So a bucket of copies costs its size, and no link between different
-sets is lost but by the bands and the estimate's margin (see miss() and MARGIN).
+components follow, and only in buckets that still hold several components do the full sets of the others look for partners, by an
+inverted index within the bucket. So a bucket of copies costs its size, no pairs are written but links, and no link between
+different sets is lost but by the bands (see miss()): where the estimate errs, the pair is compared in that second pass.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle has
 the whole sequence as its one shingle; rows that repeat an id are one document; a null id is linked with nothing, has a null
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE_A, blocks, lowered, mixed, word_bounds, word_hashes, written
@@ -35,6 +35,8 @@ REGISTERS = BANDS * ROWS
 SHIFT, LIMIT = 4096, 32767
 #: A pair whose estimate is so far below the threshold (5 standard deviations at REGISTERS) is no candidate.
 MARGIN = 0.13
+#: Members and shingles of a bucket that one task compares; larger buckets are cut into pairs of blocks.
+GROUP_ROWS, GROUP_ITEMS = 2048, 2_000_000
 #: Ids that may be broadcast to pick the texts to verify; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -192,67 +194,80 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _members(reps: DataFrame, ids: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(id, n, u, s, keys) of the representatives in ids: size, shingles that no other of them has, registers and band keys.
-
-    With their own shingles set aside, two sets share at most the smaller rest, which bounds their similarity."""
-    count = ids.count()
-    few = F.broadcast(ids) if count <= BROADCAST_IDS else ids
+def full_sets(docs: DataFrame, ids: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, items): the whole set of each text whose id is in ids (written)."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null").join(few, "id", "left_semi")
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text", 1 << 19):
                 sets = list(shingles(data, offsets, width))
-                who = np.repeat(rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
-
-    own = texts.mapInArrow(explode, "id long, h long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                k = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int16).reshape(len(batch), REGISTERS)
-                keys = _keys(k).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (k, keys)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], schema=out)
-
-    some = reps.select("id", "n", "sketch").join(few, "id", "left_semi").mapInArrow(unpack, "id long, n long, s array<short>, keys array<long>")
-    return some.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-
-
-def _possible(percent: int, threshold: float) -> Column:
-    """Whether sides a and b of a join can be similar enough, and meet in their first common band; cheap tests come first."""
-    lo, hi = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    most = F.least(F.col("a.n") - F.col("a.u"), F.col("b.n") - F.col("b.u"))
-    equal = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, e: t + e)
-    before = F.array_position("a.keys", F.col("a.key")).cast("int") - 1
-    return (
-        (F.col("a.id") < F.col("b.id"))
-        & (F.col("a.comp") != F.col("b.comp"))
-        & (100 * lo >= percent * hi)
-        & (100 * most >= percent * (lo + hi - most))
-        & (equal(F.col("a.s"), F.col("b.s")) >= int(REGISTERS * (threshold - MARGIN)))
-        & (equal(F.slice("a.keys", F.lit(1), before), F.slice("b.keys", F.lit(1), before)) == 0)
-    )
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+
+    return texts.mapInArrow(run, "id long, n long, items binary").dropDuplicates()
+
+
+def links_between(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The pairs of different components that are similar enough, by counts over an inverted index.
+
+    Members of the largest component are not compared with each other: only those of the others look for partners."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(item, kind="stable")
+    holders = owner[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(item))])
+    values, counts = np.unique(comps, return_counts=True)
+    start = np.cumsum(size) - size
+    out = []
+    for x in np.flatnonzero(comps != values[counts.argmax()]).tolist():
+        mine = item[start[x] : start[x] + size[x]]
+        a, many = first[mine], first[mine + 1] - first[mine]
+        at = np.arange(many.sum()) + np.repeat(a - (np.cumsum(many) - many), many)
+        common = np.bincount(holders[at], minlength=len(sets))
+        near = np.flatnonzero((100 * common >= percent * (size + size[x] - common)) & (comps != comps[x]))
+        out += [(min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))) for y in near.tolist()]
+    return sorted({p for p in out if p[0] != p[1]})
+
+
+def cross_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components within buckets; left: (key, id, comp), sets: (id, n, items).
+
+    A bucket beyond GROUP_ROWS members or GROUP_ITEMS shingles is cut into blocks, and each pair of blocks is a group of its own,
+    so what a task holds is bounded whatever a bucket's size."""
+    rows = left.join(sets, "id")
+    cuts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_ITEMS)).cast("int")
+    load = written(left.join(sets.select("id", "n"), "id").groupBy("key").agg(cuts.alias("cuts")))
+    rows = rows.join(load, "key")
+    mine = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.least(mine, o) * F.col("cuts") + F.greatest(mine, o))
+    rows = rows.withColumn("block", F.explode(pairs)).select("key", "block", "id", "comp", "items")
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        found = links_between(table.column("id").to_numpy(), table.column("comp").to_numpy(), sets, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, component) for each row of docs."""
     sk = written(sketches(docs, width, doc_id, text))
     some = sk.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    # Written, like other counts below: a side that ends in an aggregation would keep hot partitions of the join from being split.
+    classes = written(some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     member = written(sk.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", "f1", "f2", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
     reps = written(member.where("sketch is not null").select(F.col("doc_id").alias("id"), "n", "f1", "f2", "sketch").dropDuplicates(["id", "f1", "f2", "n"]))
     bands = written(band_keys(reps))
-    crowd = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("m")).where("a < z").select("key", "m")
+    crowd = written(bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("m")).where("a < z").select("key", "m"))
     crowded = written(bands.join(crowd, "key"))
     # A bucket's first member is the one that meets most others in all its buckets: of near copies, the one nearest to all.
     degree = crowded.groupBy("id").agg(F.sum("m").alias("d"))
     ranked = crowded.select("key", "id").join(degree, "id")
-    first = ranked.groupBy("key").agg(F.max_by("id", F.struct("d", -F.col("id"))).alias("first"))
+    first = written(ranked.groupBy("key").agg(F.max_by("id", F.struct("d", -F.col("id"))).alias("first")))
     stars = written(crowded.select("key", "id").join(first, "key").where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct())
     threshold = percent / 100
     links = confirmed(written(plausible(stars, reps, threshold)), docs, width, percent, doc_id, text)
@@ -261,16 +276,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id")
     same = same.join(several, F.col("b") == F.col("doc_id"), "left_semi")
     label = components(links.unionByName(same))
-    # What is left: pairs of different components in one bucket, but for those tested already.
+    # What is left: pairs of different components in one bucket. Their full sets meet there, and only links leave.
     at = written(crowded.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")).distinct())
-    mixed_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    mixed_keys = written(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
     left = written(at.join(mixed_keys, "key", "left_semi"))
-    ids = written(left.select("id").distinct())
-    left = written(left.join(_members(reps, ids, docs, width, doc_id, text), "id"))
-    cross = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & _possible(percent, threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    more = written(plausible(written(cross.distinct().join(stars, ["a", "b"], "left_anti")), reps, threshold))
+    sets = written(full_sets(docs, written(left.select("id").distinct()), width, doc_id, text))
+    more = written(cross_links(left, sets, percent))
     if not more.isEmpty():
-        label = components(confirmed(more, docs, width, percent, doc_id, text), label)
+        label = components(more, label)
     out = member.select("doc_id", "n", "rep").join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     return out.select("doc_id", "n", F.coalesce("comp", "rep", "doc_id").alias("component"))
 
