@@ -200,3 +200,31 @@ def test_blocks_of_items_do_not_change_matches(spark, docs, monkeypatch):
     monkeypatch.setattr(decontam.blocks_of, "__defaults__", ("item_id", "text", 30))
     assert {(r.doc_id, r.item_id) for r in decontam.matches(d, bench).collect()} == {(i, i) for i in range(5)}
     assert [r.doc_id for r in decontam.clean(d, bench).collect()] == [9]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["mit", "MIT", "license", "License", "apache", "general", "public", "x", "é", "9", "-", " ", "\n", "_", ".", "\x7f"]), max_size=40))
+def test_license_places_against_brute_force(pieces):
+    text = " ".join(pieces[::2]) + "".join(pieces[1::2])
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    places = [(i, label) for p, label in licenses.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    got = licenses.Scanner().scan(text)
+    starts = [i for i, _ in places]
+    assert got[:5] == (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})))
+
+
+def test_extraction_on_whole_pages():
+    """The content of every test page is its article's blocks."""
+    import html
+    import os
+
+    import pandas as pd
+
+    path = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    for page in pd.read_parquet(path).html:
+        inner = re.search(r"(?s)<article>(.*?)(</article>|<footer|$)", page)[1]
+        parts = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", re.sub("</?b>", "", re.sub(r"(?s)<!--.*?-->", "", inner)))
+        want = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in parts]
+        assert extract.content(page) == [x for x in want if x]
