@@ -279,6 +279,20 @@ def test_sanitise(docs):
     assert pii.sanitise(docs([])).count() == 0
 
 
+def test_terms_are_counted_in_texts(docs):
+    """A name in a passage that different texts share, and one far from its address, reveal the address; copies of a text do not."""
+    rng = np.random.default_rng(2)
+    passage = "of all that was said there " * 2 + "moonfish wrote from moon@y.org " + "and nothing more was said then " * 2
+    texts = [(i, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for i in range(9)]
+    texts += [(20 + i, f"{prose(rng, 4)} about moonfish number {i} by moon@y.org {prose(rng, 4)}") for i in range(3)]
+    texts += [(100 + i, f"sunfish {prose(rng, 40)} sun@y.org {prose(rng, 4)}") for i in range(5)]
+    texts += [(150 + i, "starfish wrote from star@y.org once") for i in range(6)]
+    texts += [(200 + i, f"user{i}@mail.com {prose(rng, 9)}") for i in range(40)] + [(1000 + i, prose(rng, 12)) for i in range(300)]
+    texts += [(900, "moonfish"), (901, "a sunfish"), (902, "starfish"), (903, "moon sun org")]
+    rows = {r.doc_id: r.spans for r in pii.digest(pii.detect(docs(texts))).collect()}
+    assert (rows[900], rows[901], rows[902], rows[903]) == ("term:0:8", "term:2:9", "", "")
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 60
     rows = [(5, "http://a\r\n/x", big, "t"), (3, "http://b", big, "t"), (9, None, big, "t"), (4, "u", "small", "t"), (6, "u", "small", "t"), (7, "u", None, "t"), (8, "u", "", "t"), (10, "u", "x" * 200000 + "\r\n\r\nWARC/1.1", "t")]

@@ -1,13 +1,14 @@
 """Personal data: patterns find the protected entities, and an information-theoretic pass over the whole corpus finds
 terms that give them away. DataFrame functions only.
 
-Entities are the spans of the patterns. The corpus counts in how many different contexts a term stands near an entity and
-in how many contexts it stands at all; a term whose pointwise mutual information with an entity, and whose share of
-contexts with that entity, exceed the disclosure thresholds reveals it, and its places are spans of the kind `term`. In a
-sanitised text, entities are generalised to their kind and revealing terms to a mark.
+Entities are the spans of the patterns. The corpus counts in how many different texts a term and an entity stand together,
+wherever in the text, and in how many texts each stands at all; a term whose pointwise mutual information with an entity,
+and whose share of texts with that entity, exceed the disclosure thresholds reveals it, and its places are spans of the kind
+`term`. All counts are of distinct texts. In a sanitised text, entities are generalised to their kind and revealing terms to
+a mark.
 
-Defined results: a null text counts as empty; offsets are code points, the end exclusive; equal contexts (copies of a
-text) count once, so copies alone make no term revealing; repeated rows get equal results; rows with a null id are kept."""
+Defined results: a null text counts as empty; offsets are code points, the end exclusive; equal texts count
+once, so copies alone make no term revealing; words that only addresses hold are no terms of their text; repeated rows get equal results; rows with a null id are kept."""
 
 from __future__ import annotations
 
@@ -28,11 +29,11 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to occur in it at all.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Disclosure thresholds: different contexts that a term shares with an entity, bits of pointwise mutual information, and
-#: the share of the term's contexts that hold the entity.
+#: Disclosure thresholds: different texts that a term shares with an entity, bits of pointwise mutual information, and the
+#: share of the term's texts that hold the entity.
 MIN_CONTEXTS, MIN_BITS, MIN_SHARE = 3, 4.0, 0.5
-#: Code points on either side of an entity that make its context.
-REACH = 48
+#: One in so many texts is searched first, for terms that are too common to reveal anything.
+FIRST_LOOK = 16
 #: The term's words: letters of any script, three at least.
 _WORD = r"\p{L}{3,}+"
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -131,50 +132,72 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
-    """For each row: doc_id, key (tells rows of one id apart), spans of each kind, and the context of each span."""
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+
+
+def _rest(text: Column) -> Column:
+    """The text without its addresses; the other kinds hold no letters."""
+    return F.when(F.contains(text, F.lit(_NEEDS["email"])), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row: doc_id, key (tells rows of one id apart), copy (the same for equal texts), spans of each kind, the
+    different entities, and the terms of a text that holds any entity."""
     t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = t.select("doc_id", row_key("doc_id", "text").alias("key"), "text", F.concat(*base_spans(F.col("text")).values()).alias("spans"))
+    t = t.select("doc_id", row_key("doc_id", "text").alias("key"), F.xxhash64("text").alias("copy"), "text", F.concat(*base_spans(F.col("text")).values()).alias("spans"))
+    # A filter on size() >= 0 keeps the spans in a column of their own instead of copying their expression to every use.
+    t = t.where(F.size("spans") >= 0)
+    entities = F.array_distinct(F.transform("spans", lambda e: F.xxhash64(e["kind"], e["value"])))
+    terms = F.when(F.size("spans") > 0, _terms(_rest(F.col("text")))).otherwise(F.array().cast("array<string>"))
+    return t.select("doc_id", "key", "copy", "spans", entities.alias("entities"), terms.alias("terms"))
 
-    def context(e: Column) -> Column:
-        left = F.substring("text", F.greatest(e["start"] - reach, F.lit(0)) + 1, F.least(e["start"], F.lit(reach)))
-        return F.struct(F.xxhash64(e["kind"], e["value"]).alias("entity"), F.lower(F.concat(left, F.lit(" | "), F.substring("text", e["end"] + 1, F.lit(reach)))).alias("window"))
 
-    return t.select("doc_id", "key", F.xxhash64("text").alias("copy"), "spans", F.transform("spans", context).alias("contexts"))
+def _count(df: DataFrame, by: str | list[str], name: str) -> DataFrame:
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias(name))
 
 
-def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+def _exceeds(texts: str, total: int) -> Column:
+    """The thresholds, with the column texts as the number of the term's texts."""
+    bits = F.log2(F.col("both") * F.lit(total) / (F.col(texts) * F.col("n_entity")))
+    return (bits >= MIN_BITS) & (F.col("both") >= MIN_SHARE * F.col(texts))
 
 
-def co_occurring(scanned: DataFrame, contexts: int = MIN_CONTEXTS, share: float = MIN_SHARE) -> DataFrame:
-    """(term, entity, both): terms that stand near an entity in enough different contexts.
+def co_occurring(scanned: DataFrame, total: int) -> DataFrame:
+    """(term, entity, n_entity, both): terms that may reveal an entity, judged by the texts that hold entities.
 
-    The texts in which a term stands near any entity are some of those that hold it, so a term whose share of these is too
-    small cannot reveal the entity, and common words go before all texts are searched."""
-    near = written(
-        scanned.select("copy", F.explode("contexts").alias("c")).select("copy", "c.entity", F.xxhash64("c.window").alias("context"), F.explode(_terms(F.col("c.window"))).alias("term"))
-    )
-    texts = near.select("term", "copy").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    together = near.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= contexts)
-    return together.join(texts, "term").where(F.col("both") >= share * F.col("n_near")).select("term", "entity", "both")
+    No term shares more texts with an entity than hold it, and none has fewer texts than those that hold it and an entity. So
+    entities in too few texts, or in so many that no term has the bits, and terms whose share is too small, go without loss."""
+    held = written(scanned.where(F.size("entities") > 0).select("copy", "entities", "terms").dropDuplicates(["copy"]))
+    pairs = held.select("copy", F.explode("entities").alias("entity"))
+    n_entity = written(_count(pairs, "entity", "n_entity").where((F.col("n_entity") >= MIN_CONTEXTS) & (F.col("n_entity") * 2.0**MIN_BITS <= total)))
+    chosen = written(pairs.join(_bounded(n_entity.select("entity")), "entity").groupBy("copy").agg(F.collect_list("entity").alias("entities")))
+    near = held.select("copy", "terms").join(_bounded(chosen), "copy")
+    both = _count(near.select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term")), ["term", "entity"], "both")
+    both = written(both.where(F.col("both") >= MIN_CONTEXTS))
+    n_near = written(_count(held.select(F.explode("terms").alias("term")), "term", "n_near").where(F.col("n_near") >= MIN_CONTEXTS))
+    return both.join(n_near, "term").join(_bounded(n_entity), "entity").where(_exceeds("n_near", total)).select("term", "entity", "n_entity", "both")
 
 
 def term_hits(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
     """(doc_id, key, terms): the revealing terms of each text that has any; None if no term of the corpus can be one.
 
-    Only terms that co_occurring() lets pass are looked up in all texts, so what is moved is their places, not all words."""
-    together = written(co_occurring(scanned))
-    if together.isEmpty():
+    Only terms that co_occurring() lets pass are counted in all texts, those first that pass in a part of them as well: a term
+    has no fewer texts in the whole than in a part. Only the places of revealing terms are moved."""
+    total = scanned.select("copy").distinct().count()
+    t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
+    found = written(co_occurring(scanned, total))
+    for part in (t.where(F.pmod("copy", F.lit(FIRST_LOOK)) == 0), t):
+        if found.isEmpty():
+            return None
+        terms = _bounded(written(found.select("term").distinct()))
+        n_term = _count(part.select("copy", F.explode(_terms(_rest(F.col("text")))).alias("term")).join(terms, "term").distinct(), "term", "n_term")
+        found = written(found.join(_bounded(written(n_term)), "term", "left").where(F.col("n_term").isNull() | _exceeds("n_term", total)).drop("n_term"))
+    if found.isEmpty():
         return None
-    candidates = _bounded(written(together.select("term").distinct()))
-    t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    places = written(t.select("doc_id", row_key("doc_id", "text").alias("key"), F.xxhash64("text").alias("copy"), F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term"))
-    n_term = places.select("term", "copy").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_entity = scanned.select(F.explode("contexts").alias("c")).select("c.entity", F.xxhash64("c.window").alias("w")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    bits = F.log2(F.col("both") * F.lit(scanned.count()) / (F.col("n_term") * F.col("n_entity")))
-    revealing = together.join(n_term, "term").join(n_entity, "entity").where((bits >= MIN_BITS) & (F.col("both") >= MIN_SHARE * F.col("n_term"))).select("term").distinct()
-    return written(places.join(revealing, "term", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("term").alias("terms")))
+    revealing = _bounded(written(found.select("term").distinct()))
+    places = t.select("doc_id", row_key("doc_id", "text").alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(revealing, "term")
+    return written(places.groupBy("doc_id", "key").agg(F.collect_set("term").alias("terms")))
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
