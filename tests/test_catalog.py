@@ -30,6 +30,13 @@ def test_samples_have_their_properties(spark):
     assert sorted(again.collect()) == sorted(catalog.QUERIES["random_of_class"](spark, oracle.DATA).collect())
 
 
+def test_derangement_takes_every_row(spark, tmp_path):
+    ids = [*range(0, 600, 2), 10**12]
+    spark.createDataFrame([(i,) for i in ids], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = catalog.QUERIES["derangement"](spark, str(tmp_path)).collect()
+    assert sorted(r.vec_id for r in d) == sorted(r.partner for r in d) == ids and all(r.vec_id != r.partner for r in d)
+
+
 def test_entry(spark):
     import __spark_entry__
 
