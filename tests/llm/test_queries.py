@@ -53,6 +53,17 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in last.collect()} == set(kept[3])
 
 
+def test_short_items_are_found_inside_texts(spark, tmp_path):
+    items = [(1, "Who wrote it?"), (2, "how many legs has a spider"), (3, "zebra"), (4, "")]
+    texts = [(1, "they asked: who wrote it, and when"), (2, "x how many legs has one spider y"), (3, "a zebra here"), (4, "who wrote that"), (5, "zebras"), (6, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.item_id, r.distance) for r in queries.QUERIES["op9_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 0), (2, 2, 1), (3, 3, 0)}
+    assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()} == {4, 5, 6}
+
+
 def test_entry_without_the_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[2]
     for name in ("__spark_entry__.py", "waymark"):
