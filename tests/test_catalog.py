@@ -23,7 +23,8 @@ def test_query_without_sql_has_rows(spark, name):
 
 def test_samples_have_their_properties(spark):
     pairs = catalog.QUERIES["negative_sampling"](spark, oracle.DATA).collect()
-    assert len(pairs) == 40 and all(r.i % 10 != r.j % 10 for r in pairs)
+    n = spark.read.parquet(f"{oracle.DATA}/embeddings.parquet").count()
+    assert len(pairs) == len({r.i for r in pairs}) == n and all(r.i % 10 != r.j % 10 and r.i // 50 == r.j // 50 for r in pairs)
     d = catalog.QUERIES["derangement"](spark, oracle.DATA).collect()
     assert all(r.vec_id != r.partner for r in d) and {r.vec_id for r in d} == {r.partner for r in d}
     again = catalog.QUERIES["random_of_class"](spark, oracle.DATA).repartition(3)

@@ -204,11 +204,11 @@ def place_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {R.SQL_QUERY_POINTS}, {R.SQL_DATABASE_POINTS}, a AS (SELECT row_number() OVER (ORDER BY path) - 1 AS image_id, path FROM d), b AS (SELECT row_number() OVER (ORDER BY path) - 1 AS image_id, path FROM q)
+    f"""WITH {_ORDERS}, {R.SQL_DATABASE_POINTS}, a AS (SELECT row_number() OVER (ORDER BY path) - 1 AS image_id, path FROM d), b AS (SELECT row_number() OVER (ORDER BY path) - 1 AS image_id, path FROM o)
 SELECT image_id, path, 'database' AS role FROM a UNION ALL SELECT image_id + (SELECT count(*) FROM a), path, 'query' FROM b"""
 )
 def union_db_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, q = images.numbered(R.database_points(spark, sf_dir).select("path")), images.numbered(R.query_points(spark, sf_dir).select("path"))
+    d, q = images.numbered(R.database_points(spark, sf_dir).select("path")), images.numbered(_orders(spark, sf_dir).select("path"))
     return images.database_and_queries(d, q)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Queries of the descriptor searches.
-N_QUERIES = 100
+#: The stated query set of every search: the rows whose id is divisible by this, against all rows.
+EVERY = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,28 +55,28 @@ def points(spark: SparkSession, sf_dir: str, source: str, key: str, where: str =
 
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir, "orders", "o_orderkey", "o_orderkey % 150 = 0", "query_id")
+    return points(spark, sf_dir, "orders", "o_orderkey", f"o_orderkey % {EVERY} = 0", "query_id")
 
 
 def database_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir, "customer", "c_custkey", "true", "db_id")
 
 
-SQL_QUERY_POINTS = sql_points("q", "orders", "o_orderkey", "o_orderkey % 150 = 0", "query_id")
+SQL_QUERY_POINTS = sql_points("q", "orders", "o_orderkey", f"o_orderkey % {EVERY} = 0", "query_id")
 SQL_DATABASE_POINTS = sql_points("d", "customer", "c_custkey", "true", "db_id")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
 def database_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") >= N_QUERIES).select(F.col("vec_id").alias("db_id"), "embedding", "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("db_id"), "embedding", "label")
 
 
 SQL_VECTORS = (
-    f"q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id < {N_QUERIES}), "
-    f"d AS (SELECT vec_id AS db_id, embedding, label FROM embeddings WHERE vec_id >= {N_QUERIES})"
+    f"q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % {EVERY} = 0), "
+    "d AS (SELECT vec_id AS db_id, embedding, label FROM embeddings)"
 )
 SQL_L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 SQL_L1 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE)))"

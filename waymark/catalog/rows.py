@@ -93,10 +93,11 @@ def vqa_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.answer_weights(lists, "conv_id", "answers").withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+@query("SELECT text, arg_min(doc_id, (doc_id % 2, doc_id)) AS doc_id FROM documents GROUP BY text")
 def merge_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("text", "doc_id", F.col("doc_id").alias("pos"))
-    return lookup.merge_keep_first([d.where("doc_id < 300"), d.where("doc_id >= 300")], "text").select("text", "doc_id")
+    halves = [d.where(F.col("doc_id") % 2 == k) for k in (0, 1)]
+    return lookup.merge_keep_first(halves, "text").select("text", "doc_id")
 
 
 @query(
@@ -195,11 +196,11 @@ def collated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT query_id, rank FROM (VALUES (1)) x(z), (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 50), range(1, 4) t(rank))
+    """WITH p AS (SELECT query_id, rank FROM (VALUES (1)) x(z), (SELECT vec_id AS query_id FROM embeddings), range(1, 4) t(rank))
 SELECT printf('%03d.jpg', query_id) AS name, 'Query path:' || chr(10) || 'q' || query_id || chr(10) || chr(10) || 'Predictions paths:' || chr(10) || 'p1' || chr(10) || 'p2' || chr(10) || 'p3' || chr(10) AS value FROM p GROUP BY query_id"""
 )
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = R.table(spark, sf_dir, "embeddings").where("vec_id < 50")
+    q = R.table(spark, sf_dir, "embeddings")
     preds = F.array(F.lit("p1"), F.lit("p2"), F.lit("p3"))
     return q.select(paths.report_name(F.col("vec_id")).alias("name"), sinks.report(F.concat(F.lit("q"), F.col("vec_id")), preds).alias("value"))
 

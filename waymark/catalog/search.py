@@ -235,10 +235,10 @@ def vector_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {R.SQL_VECTORS} SELECT query_id, db_id, round({_DOT} / greatest(({R.SQL_NORM.format(a="q.embedding")}) * ({R.SQL_NORM.format(a="d.embedding")}), 1e-8), 6) AS cosine,
   round(30.0 * ({_DOT} / greatest(({R.SQL_NORM.format(a="q.embedding")}) * ({R.SQL_NORM.format(a="d.embedding")}), 1e-8) - CASE WHEN q.label = d.label THEN 0.4 ELSE 0.0 END), 6) AS logit
-FROM q, d WHERE query_id < 20"""
+FROM q, d"""
 )
 def cosface_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = R.query_vectors(spark, sf_dir).where("query_id < 20").select("query_id", F.col("embedding").alias("a"), F.col("label").alias("la"))
+    q = R.query_vectors(spark, sf_dir).select("query_id", F.col("embedding").alias("a"), F.col("label").alias("la"))
     d = R.database_vectors(spark, sf_dir).select("db_id", F.col("embedding").alias("b"), F.col("label").alias("lb"))
     cos = vectors.cosine_clamped(F.col("a"), F.col("b"))
     return q.repartition("query_id").join(F.broadcast(d)).select("query_id", "db_id", F.round(cos, 6).alias("cosine"), F.round(vectors.cosface(cos, F.col("la") == F.col("lb")), 6).alias("logit"))

@@ -74,10 +74,12 @@ def repeated(df: DataFrame, times: str, name: str = "copy") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(times) - 1))).where(F.col(times) > 0)
 
 
-def same_index_pairs(df: DataFrame, index: str, row: str) -> DataFrame:
-    """(i, j): pairs of rows with one index, themselves included; the mask of positives of a contrastive batch."""
-    a, b = df.select(F.col(index).alias("_x"), F.col(row).alias("i")), df.select(F.col(index).alias("_x"), F.col(row).alias("j"))
-    return a.join(b, "_x").select("i", "j")
+def same_index_pairs(df: DataFrame, index: str, row: str, batch: str) -> DataFrame:
+    """(i, j): pairs of rows of a batch with one index, themselves included; the mask of positives of contrastive batches.
+
+    Pairs are formed within a batch only, so they grow with the rows times a batch's size, however hot an index is."""
+    side = lambda name: df.select(F.col(batch).alias("_b"), F.col(index).alias("_x"), F.col(row).alias(name))
+    return side("i").join(side("j"), ["_b", "_x"]).select("i", "j")
 
 
 def merge_keep_first(parts: list[DataFrame], key: str) -> DataFrame:
