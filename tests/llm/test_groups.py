@@ -140,14 +140,14 @@ def repeat_texts(rng):
     return texts + [(200, "a b " * 300), (201, "x " * 200), (202, "z" * 3000), (203, "ab" * 1500), (204, "é" * 900)]
 
 
-def removed_words(texts):
+def removed_words(texts, length=20):
     seen, out = set(), {}
     for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)):
         w, gone = words(t), set()
-        for p in range(len(w) - 19):
-            g = tuple(w[p : p + 20])
+        for p in range(len(w) - length + 1):
+            g = tuple(w[p : p + length])
             if g in seen:
-                gone |= set(range(p, p + 20))
+                gone |= set(range(p, p + length))
             seen.add(g)
         out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
     return out
@@ -162,17 +162,17 @@ def test_substring_dedup_against_brute_force(docs):
     assert substring.dedup(docs([])).count() == 0
 
 
-def removed_bytes(texts):
+def removed_bytes(texts, length=400):
     count = Counter()
     data = {i: (t or "").encode() for i, t in texts}
     for b in data.values():
-        count.update(b[p : p + 400] for p in range(len(b) - 399))
+        count.update(b[p : p + length] for p in range(len(b) - length + 1))
     out = {}
     for i, b in data.items():
         gone = np.zeros(len(b), bool)
-        for p in range(len(b) - 399):
-            if count[b[p : p + 400]] > 1:
-                gone[p : p + 400] = True
+        for p in range(len(b) - length + 1):
+            if count[b[p : p + length]] > 1:
+                gone[p : p + length] = True
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
     return out
@@ -187,6 +187,35 @@ def test_suffix_dedup_against_brute_force(docs):
     assert suffix.dedup(docs([])).count() == 0
 
 
+def mutated(rng, n, symbols, many):
+    """Variants of a few sequences with single changes, so that runs of one anchor differ in many ways."""
+    bases = [rng.integers(0, symbols, n) for _ in range(3)]
+    out = []
+    for _ in range(many):
+        x = bases[int(rng.integers(0, 3))].copy()
+        for at in rng.integers(0, n, int(rng.integers(0, 6))):
+            x[at] = rng.integers(0, symbols)
+        a = int(rng.integers(0, n // 2))
+        out.append(np.concatenate([rng.integers(0, symbols, int(rng.integers(0, 9))), x[a:]]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_small_windows_against_brute_force(docs, monkeypatch, seed):
+    """Short windows over few symbols: all rounds of the doubling and of the extension have rows."""
+    rng = np.random.default_rng(seed)
+    bytes_ = [(i, "".join(chr(97 + c) for c in x)) for i, x in enumerate(mutated(rng, 90, 2 + 24 * seed, 150))]
+    plan, cuts = repeats.Plan(length=40, grams=32, words=False), (8, 1)
+    doubled = suffix.repeating
+    monkeypatch.setattr(suffix, "repeating", lambda d, p: doubled(d, p, cuts))
+    rows = suffix.dedup(docs(bytes_), plan=plan).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == removed_bytes(bytes_, 40)
+    words_ = [(i, " ".join(f"w{c}" for c in x)) for i, x in enumerate(mutated(rng, 60, 2 + 24 * seed, 150))]
+    rows = substring.dedup(docs(words_), plan=repeats.Plan(length=18, grams=16, words=True)).collect()
+    want = removed_words(words_, 18)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == want and 0 < sum(x[1] for x in want.values()) < sum(x[0] for x in want.values())
+
+
 def test_rows_of_one_id(docs):
     """Equal rows are one document; rows of one id with other texts are documents of their own."""
     t = "m" * 50 + prose(np.random.default_rng(1), 200, 10**6)
@@ -206,7 +235,7 @@ def test_long_texts_have_repeats(docs):
 @pytest.mark.parametrize("seed", range(8))
 def test_runs_cover_every_window(seed):
     rng = np.random.default_rng(seed)
-    plan = repeats.Plan(length=12, grams=8, cuts=(1,), words=False)
+    plan = repeats.Plan(length=12, grams=8, words=False)
     sizes = rng.integers(0, 60, 6)
     data = rng.integers(97, 97 + 1 + seed % 3, sizes.sum()).astype(np.uint8)
     first = np.concatenate([[0], np.cumsum(sizes)])

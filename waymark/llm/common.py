@@ -46,13 +46,21 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only if it is unset (tests)."""
+def _work_dir(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which driver and executors share. A local one is made only where it
+    is unset and the master is local (tests); a cluster without the setting is an error, since executors could not read it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/waymark/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/waymark/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{_work_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -60,7 +68,25 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in dfs:
+        _delete(df.sparkSession, df._written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; results that read from it must have been stored."""
+    _delete(spark, _work_dir(spark))
 
 
 def objects(values) -> pd.Series:

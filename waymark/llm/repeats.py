@@ -1,18 +1,12 @@
-"""Windows of a fixed length that occur more than once, over whole corpora: what op7 and op8 share.
+"""Winnowing of windows of a fixed length over whole corpora: what op7 and op8 share.
 
-A window holds W grams of K symbols (W + K - 1 is its length); the gram of the smallest hash is its anchor (winnowing), so
-equal windows have equal anchors at equal places. An anchor stands for the run of windows that choose it: 2 in W symbols are
-anchors, not all. Rows are one for each anchor:
+A window holds W grams of K symbols (W + K - 1 is its length); the gram of the smallest hash is its anchor, so equal windows
+have equal anchors at equal places. An anchor stands for the run of windows that choose it: 2 in W symbols are anchors, not
+all. Rows are one for each run:
 
-  h   the rank of what all windows of the row share, c the fingerprint of all that they cover,
+  h   the hash of the anchor's gram, c the fingerprint of all that the run's windows cover,
   pos the anchor's place and the first and last window's distance to it.
 
-A round sorts rows by rank. Rows whose rank is unique are dropped. Of the others, rows with equal c repeat in all their windows;
-one of them goes on. Where one rank still has several c, the rows are cut into smaller runs, whose shared stretch is longer, and
-take part in the next round with a new rank: (old rank, name of the longer stretch). The last round has runs of one window, whose
-shared stretch is the threshold itself. Minima and maxima are formed before rows are moved, so a hot rank is one row for each
-task; joins keep the many rows on the side that adaptive execution splits.
-
 Equal rows of the input (same id and text) are one document: an occurrence is told by id, text hash and place."""
 
 from __future__ import annotations
@@ -22,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE_A, BASE_B, Prefix, blocks, mixed, row_key, word_bounds, word_hashes, written
@@ -37,11 +31,10 @@ _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in ROW.split(", ")])
 
 @dataclass(frozen=True)
 class Plan:
-    """length: symbols of a window; grams: grams of a window (a power of two, 256 at most); cuts: windows in a run, by round; words: symbols are words, else bytes."""
+    """length: symbols of a window; grams: grams of a window (a power of two, 256 at most); words: symbols are words, else bytes."""
 
     length: int
     grams: int
-    cuts: tuple[int, ...]
     words: bool
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,93 +91,23 @@ def first_round(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.mapInArrow(run, ROW)
 
 
-def next_round(docs: DataFrame, rows: DataFrame, plan: Plan, cut: int) -> DataFrame:
-    """The rows cut into runs of `cut` windows, ranked by the stretch that those share. Each text is read once for all its rows."""
+def of_documents(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, key, text, hs, ps): the texts of docs that have rows (h, doc_id, key, pos), each once with all its rows."""
     mine = written(rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "pos")).alias("l")).select("doc_id", "key", F.col("l.h").alias("hs"), F.col("l.pos").alias("ps")))
     ids = mine.select("doc_id", "key")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.key") == F.col(f"{y}.key"))
     some = docs.alias("d").join(few.alias("i"), same("d", "i"), "left_semi").alias("d")
-    joined = some.join(mine.alias("m"), same("d", "m")).select("d.doc_id", "d.key", "d.text", "m.hs", "m.ps")
-    length = plan.length
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in blocks(batch, "text", WORK_BYTES):
-                for r in range(len(rows)):
-                    own = data[offsets[r] : offsets[r + 1]]
-                    symbols, _ = plan.symbols(own, np.array([0, len(own)]))
-                    a, b = Prefix(symbols, BASE_A), Prefix(symbols, BASE_B)
-                    h = rows.column(3)[r].values.to_numpy().view(np.uint64)
-                    pos = rows.column(4)[r].values.to_numpy()
-                    near, far = pos >> 8 & 255, pos & 255
-                    many = far // cut - near // cut + 1
-                    of = np.repeat(np.arange(len(pos)), many)
-                    block = (near // cut)[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-                    place, d0 = (pos >> 16)[of], block * cut
-                    shared = a.of(place - d0, place - d0 - cut + 1 + length)
-                    rank = mixed(mixed(h[of] + d0.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + shared)
-                    start, end = place - d0 - cut + 1, place - d0 + length
-                    inside = (start >= 0) & (end <= len(symbols))
-                    cover = b.of(np.where(inside, start, 0), np.where(inside, end, 0))
-                    doc, key = rows.column(0)[r].as_py(), rows.column(1)[r].as_py()
-                    alone = mixed(np.full(len(of), key, np.int64).view(np.uint64) ^ mixed((place * 256 + d0).astype(np.uint64)))
-                    cover = np.where(inside, cover, alone)
-                    part = place << 16 | np.maximum(near[of], d0) << 8 | np.minimum(far[of], d0 + cut - 1)
-                    size = len(of)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * size, pa.int64()), pa.array(np.full(size, key, np.int64)), pa.array(part), pa.array(rank.view(np.int64)), pa.array(cover.view(np.int64))], schema=_ARROW
-                    )
-
-    return joined.mapInArrow(run, ROW)
-
-
-def _place() -> Column:
-    return F.struct("doc_id", "key", "pos")
-
-
-def settle(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """(rows whose windows all repeat, rows that go on). keep_first: the earliest row of equal ones is not counted as repeating."""
-    rows = written(rows)
-    token = F.xxhash64("doc_id", "key", "pos")
-    # Written: a side that ends in an aggregation would keep adaptive execution from splitting the join's hot partitions.
-    shared = written(rows.groupBy("h").agg(F.min(token).alias("lo"), F.max(token).alias("hi")).where("lo <> hi").select("h"))
-    rows = written(rows.join(shared, "h", "left_semi"))
-    groups = written(rows.groupBy("h", "c").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")))
-    several = written(groups.where("first <> last").select("h", "c", "first"))
-    hit = rows.join(several, ["h", "c"])
-    if keep_first:
-        hit = hit.where(_place() != F.col("first"))
-    split = written(groups.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
-    left = groups.join(split, "h", "left_semi").select("h", "first.*")
-    return hit.select("doc_id", "key", "pos"), left
-
-
-def repeating(docs: DataFrame, plan: Plan, keep_first: bool) -> DataFrame:
-    """(doc_id, key, ps): the runs of windows of each text that occur elsewhere too, or earlier if keep_first; docs: (doc_id, key, text)."""
-    rows, hits = first_round(docs, plan), []
-    for cut in (*plan.cuts, 0):
-        hit, left = settle(rows, keep_first)
-        hits.append(written(hit))
-        if not cut:
-            break
-        left = written(left)
-        if left.isEmpty():
-            break
-        rows = next_round(docs, left, plan, cut)
-    out = hits[0]
-    for hit in hits[1:]:
-        out = out.unionByName(hit)
-    return out.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("ps"))
+    return some.join(mine.alias("m"), same("d", "m")).select("d.doc_id", "d.key", "d.text", "m.hs", "m.ps")
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", row_key("doc_id", "text").alias("key"), "text")
 
 
-def with_repeats(docs: DataFrame, plan: Plan, keep_first: bool) -> DataFrame:
-    """(doc_id, text, ps) for each row of keyed docs; ps is null where nothing repeats."""
-    found = written(repeating(docs, plan, keep_first)).alias("f")
+def beside(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, text, ps) for each row of keyed docs, ps being the places of its rows in hits (doc_id, key, pos); null where it has none."""
+    found = written(hits.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("ps"))).alias("f")
     d = docs.alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key"))
     return d.join(found, on, "left").select("d.doc_id", "d.text", "f.ps")
