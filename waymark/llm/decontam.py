@@ -8,8 +8,8 @@ The items are the stated query set. They are taken in blocks of bounded size, ea
 join is made and nothing that grows with the documents is sent to the driver.
 
 Defined results: words are maximal runs of letters, digits and non-ASCII characters, A-Z lower-cased; null texts have none and
-match nothing; items without words match nothing; items under min_words words match only where they are a text as a whole (the
-registered query and the pipeline give 1, so that items of every length are found inside texts, by the same rule); repeated rows get equal results; an empty benchmark matches nothing."""
+match nothing; items without words match nothing; items of every length are found inside texts by the same rule, so those under 5
+words without edits; repeated rows get equal results; an empty benchmark matches nothing."""
 
 from __future__ import annotations
 
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: One edit in so many words is allowed.
 WORDS_PER_EDIT = 5
-#: Shorter items count only as whole texts, unless a caller gives another bound.
-MIN_WORDS = 8
 #: Bytes of item text in a block.
 BLOCK_BYTES = 4 << 20
 
@@ -71,17 +69,13 @@ class Pattern:
 class Matcher:
     """A block of items: (item_id, text) pairs."""
 
-    def __init__(self, items: list[tuple[int, str]], words_per_edit: int = WORDS_PER_EDIT, min_words: int = MIN_WORDS):
+    def __init__(self, items: list[tuple[int, str]], words_per_edit: int = WORDS_PER_EDIT):
         self.items: list[tuple[int, list[bytes], int]] = []
-        self.whole: dict[bytes, list[int]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            if len(words) < min_words:
-                self.whole.setdefault(b" ".join(words), []).append(item_id)
-                continue
             k = len(words) // words_per_edit
             n = len(self.items)
             self.items.append((item_id, words, k))
@@ -106,11 +100,10 @@ class Matcher:
         words = words_of(text)
         if not words:
             return []
-        joined = b" ".join(words)
-        out = [(i, 0, 0, len(words)) for i in self.whole.get(joined, [])]
-        if not self.any or out and first:
+        out: list[tuple[int, int, int, int]] = []
+        if not self.any:
             return out
-        canonical = (b" " + joined + b" ").decode("latin-1")
+        canonical = (b" " + b" ".join(words) + b" ").decode("latin-1")
         starts: dict[int, list[int]] = {}
         counted, at = 0, 0
         for end, (size, places) in self.automaton.iter(canonical):
@@ -162,14 +155,14 @@ def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
 SCHEMA = "doc_id long, item_id long, distance long, first_word long, end_word long"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, first_word, end_word) for each text and item within the item's edits."""
     t = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in blocks_of(benchmark):
 
         def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(block, min_words=min_words)
+            matcher = Matcher(block)
             for batch in batches:
                 rows = [(d, *m) for d, x in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True) for m in matcher.match(x)]
                 if rows:
@@ -181,12 +174,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that match no item, with the columns of docs. Each block filters what the last one left."""
     for block in blocks_of(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, min_words=min_words)
+            matcher = Matcher(block)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
                 yield batch.filter(pa.array([not matcher.match(x, first=True) for x in texts], pa.bool_()))

@@ -153,9 +153,15 @@ class Scanner:
         canon = canonical.decode("latin-1")
         n_base, first, last, base, labels, tagged = 0, None, None, set(), set(), False
         score = 0.0
+        counted, at = -1, 0  # spaces before `at`: hits come in the order of their ends, so each stretch is counted once
         for end, phrase in self.automaton.iter(canon):
             if phrase in BASE_PHRASES:
-                start = canon.count(" ", 0, end + 1 - len(phrase)) - 1
+                begin = end - len(phrase)  # the phrase's first letter; a phrase may begin before the last one did
+                if begin >= at:
+                    counted += canon.count(" ", at, begin)
+                    at, start = begin, counted
+                else:
+                    start = counted - canon.count(" ", begin, at)
                 n_base += 1
                 first, last = start if first is None else min(first, start), start if last is None else max(last, start)
                 base.add(BASE_PHRASES[phrase])

@@ -103,7 +103,7 @@ def rules() -> list[Rule]:
         Rule("long_words", F.col("word_chars") > 15 * n),
         Rule("shouting", 2 * F.col("n_upper") > F.col("word_chars")),
         Rule("digits", 10 * F.col("n_digits") > 3 * F.col("word_chars")),
-        Rule("few_distinct_words", (n >= 50) & (20 * F.col("n_distinct_words") < n) & (n < 2000)),
+        Rule("few_distinct_words", (n >= 50) & (F.col("n_distinct_words") * F.col("n_distinct_words") < 2 * n)),
     ]
 
 

@@ -54,7 +54,7 @@ WITH d AS (
 ), b AS (
   SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
     + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT + 64 * (2 * n_upper > word_chars)::BIGINT + 128 * (10 * n_digits > 3 * word_chars)::BIGINT
-    + 256 * (n_words >= 50 AND 20 * n_distinct < n_words AND n_words < 2000)::BIGINT AS fail_bits FROM m
+    + 256 * (n_words >= 50 AND n_distinct * n_distinct < 2 * n_words)::BIGINT AS fail_bits FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """

@@ -40,10 +40,12 @@ LENGTH, GRAMS = 400, 256
 #: Windows of a run in the rounds after the first.
 CUTS = (16, 1)
 PLAN = Plan(length=LENGTH, grams=GRAMS, words=False)
+#: For n_shared: windows of 272 bytes with the same grams of 145 bytes.
+SHARED = Plan(length=272, grams=128, words=False)
 #: Parts of a stretch whose names the doubling starts from: two rounds of pairs.
 PARTS = 4
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_shared", pa.int64())])
 _NAMES = [f"n{k}" for k in range(PARTS)]
 _RUNS = ["doc_id", "key", "pos", "at", *_NAMES, "e"]
 
@@ -148,6 +150,18 @@ def repeating(docs: DataFrame, plan: Plan = PLAN, cuts: tuple[int, ...] = CUTS)
     return hits
 
 
+def in_other_documents(docs: DataFrame, plan: Plan = SHARED) -> DataFrame:
+    """(doc_id, key, pos): the anchors of the plan's windows whose gram is an anchor of another document too, written.
+
+    Every passage of plan.length bytes that two documents share has one; passages under LENGTH bytes, which stay, are seen by it."""
+    grams = written(first_round(docs, plan).select("doc_id", "key", "pos", "h"))
+    document = F.struct("doc_id", "key")
+    several = written(grams.groupBy("h").agg(F.min(document).alias("lo"), F.max(document).alias("hi")).where("lo <> hi").select("h"))
+    out = written(grams.join(several, "h", "left_semi").select("doc_id", "key", "pos"))
+    discard(grams, several)
+    return out
+
+
 def kept_bytes(data: np.ndarray, ps: np.ndarray | None, plan: Plan = PLAN) -> tuple[np.ndarray, np.ndarray]:
     """(the bytes that stay, which bytes go)."""
     gone = covered(ps, len(data), plan.length)
@@ -155,9 +169,13 @@ def kept_bytes(data: np.ndarray, ps: np.ndarray | None, plan: Plan = PLAN) -> tu
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan = PLAN) -> DataFrame:
-    """One row for each row of docs: what was removed, and the digest of what stays."""
+    """One row for each row of docs: what was removed, the digest of what stays, and n_shared, the bytes inside grams of SHARED that
+    stand in other documents too (of 272-byte passages that documents share, some are; no repeat of under 145 bytes counts)."""
     own = keyed(docs, doc_id, text)
-    found = beside(own, repeating(own, plan))
+    gram = SHARED.length - SHARED.grams + 1
+    # A negative place marks a shared gram, so one grouping brings both to the text.
+    seen = in_other_documents(own).select("doc_id", "key", (-F.shiftright("pos", 16) - 1).alias("pos"))
+    found = beside(own, repeating(own, plan).unionByName(seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +183,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Pla
                 out = []
                 for r in range(len(rows)):
                     ps = rows.column(2)[r]
-                    kept, gone = kept_bytes(data[offsets[r] : offsets[r + 1]], ps.values.to_numpy() if ps.is_valid else None, plan)
+                    at = ps.values.to_numpy() if ps.is_valid else np.zeros(0, np.int64)
+                    kept, gone = kept_bytes(data[offsets[r] : offsets[r + 1]], at[at >= 0], plan)
                     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    out.append((len(gone), int(gone.sum()), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
+                    shared = np.sort(-1 - at[at < 0])
+                    n_shared = int(np.minimum(np.diff(shared, append=shared[-1:] + gram), gram).sum())
+                    out.append((len(gone), int(gone.sum()), spans, hashlib.sha256(kept.tobytes()).hexdigest(), n_shared))
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x) for x in zip(*out, strict=True))], schema=_SCHEMA)
 
     return found.mapInArrow(run, DIGEST)
