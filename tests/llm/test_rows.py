@@ -137,7 +137,8 @@ def test_extraction_of_loose_text_and_forms():
     assert extract.content(f"<body>{MENU}<article>{ARTICLE}<div>Buy now</div>{_WORDS * 3}</article>") == [*WANTED, (_WORDS * 3).strip()]
     assert extract.content(f"<body>{MENU}<div><h1>Title of it</h1></div><div><p>{_WORDS * 4}</p></div><div>more</div></body>") == ["Title of it", (_WORDS * 4).strip()]
     assert extract.content(f"<body><div class=menu>{MENU}{ARTICLE}</div></body>") == WANTED
-    assert extract.content(f"<body>{MENU}<footer>the end</footer></body>") == ["the end"] and extract.content(f"<body>{MENU}</body>") == []
+    assert extract.content(f"<body>{MENU}<footer>the end</footer></body>") == extract.content(f"<body>{MENU}</body>") == []
+    assert extract.content(f"<body>{MENU}<aside><p>{_WORDS * 4}</p></aside></body>") == [(_WORDS * 4).strip()]
     assert len(extract.content(f"<body><article>{'<p>one line of it</p>' * 20000}</article>")) == 20000
 
 
