@@ -319,6 +319,16 @@ def test_sanitise(docs):
     assert pii.sanitise(docs([])).count() == 0
 
 
+def test_secrets(docs):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [(1, f"the key {key}, and {key.upper()}"), (2, f"x{key} {key[:31]} {'1' * 40} {'ab' * 20}"), (3, key), (4, "d" * 50000 + " " + "0a" * 20000), (5, None)]
+    rows = {r.doc_id: r for r in pii.digest(pii.detect(docs(texts))).collect()}
+    assert {i: r.spans for i, r in rows.items()} == {1: "secret:8:48,secret:54:94", 2: "", 3: "secret:0:40", 4: "secret:50001:90001", 5: ""}
+    assert rows[1].n_spans == 2 and rows[2].n_spans == 0 and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(texts)).collect()}
+    assert clean[1] == "the key [SECRET], and [SECRET]" and clean[2] == texts[1][1] and clean[3] == "[SECRET]"
+
+
 def test_terms_are_counted_in_texts(docs):
     """A name in a passage that different texts share, and one far from its address, reveal the address; copies of a text do not."""
     rng = np.random.default_rng(2)

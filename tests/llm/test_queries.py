@@ -48,7 +48,7 @@ def test_pipeline_stages(spark):
     assert not any(x in t for t in kept[2].values() for _, x in items)
     assert set(kept[3]) == set(kept[2])
     assert all(personal(t)[1] == "" for t in kept[3].values()) and any(personal(t)[1] for t in kept[2].values())
-    assert {i for i in kept[2] if kept[3][i] != kept[2][i]} <= {i for i, t in kept[2].items() if personal(t)[1]} | {i for i, t in kept[3].items() if "[TERM]" in t}
+    assert {i for i in kept[2] if kept[3][i] != kept[2][i]} <= {i for i, t in kept[2].items() if personal(t)[1]} | {i for i, t in kept[3].items() if "[TERM]" in t or "[SECRET]" in t}
     last = corpus_pipeline.run(spark, oracle.DATA)
     assert {r.doc_id for r in last.collect()} == set(kept[3])
 

@@ -35,7 +35,7 @@ REGISTERS = BANDS * ROWS
 SHIFT, LIMIT = 4096, 32767
 #: A pair whose estimate is so far below the threshold (5 standard deviations at REGISTERS) is no candidate.
 MARGIN = 0.13
-#: Members and shingles of a bucket that one task compares; larger buckets are cut into pairs of blocks.
+#: Members and shingles of a bucket that one task compares with as many; larger buckets are cut into pairs of blocks.
 GROUP_ROWS, GROUP_ITEMS = 2048, 2_000_000
 #: Ids that may be broadcast to pick the texts to verify; more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -209,25 +209,22 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, doc_id: str = "doc_id
     return texts.mapInArrow(run, "id long, n long, items binary").dropDuplicates()
 
 
-def links_between(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """The pairs of different components that are similar enough, by counts over an inverted index.
-
-    Members of the largest component are not compared with each other: only those of the others look for partners."""
+def links_between(ids: np.ndarray, comps: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The similar enough pairs of a member that asks with one that does not, of another component, by counts over an inverted index."""
     size = np.array([len(x) for x in sets], np.int64)
     _, item = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(item, kind="stable")
     holders = owner[order]
     first = np.concatenate([[0], np.cumsum(np.bincount(item))])
-    values, counts = np.unique(comps, return_counts=True)
     start = np.cumsum(size) - size
     out = []
-    for x in np.flatnonzero(comps != values[counts.argmax()]).tolist():
+    for x in np.flatnonzero(asks).tolist():
         mine = item[start[x] : start[x] + size[x]]
         a, many = first[mine], first[mine + 1] - first[mine]
         at = np.arange(many.sum()) + np.repeat(a - (np.cumsum(many) - many), many)
         common = np.bincount(holders[at], minlength=len(sets))
-        near = np.flatnonzero((100 * common >= percent * (size + size[x] - common)) & (comps != comps[x]))
+        near = np.flatnonzero((100 * common >= percent * (size + size[x] - common)) & (comps != comps[x]) & ~asks)
         out += [(min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))) for y in near.tolist()]
     return sorted({p for p in out if p[0] != p[1]})
 
@@ -235,22 +232,29 @@ def links_between(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], pe
 def cross_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between components within buckets; left: (key, id, comp), sets: (id, n, items).
 
-    A bucket beyond GROUP_ROWS members or GROUP_ITEMS shingles is cut into blocks, and each pair of blocks is a group of its own,
-    so what a task holds is bounded whatever a bucket's size."""
-    rows = left.join(sets, "id")
-    cuts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_ITEMS)).cast("int")
-    load = written(left.join(sets.select("id", "n"), "id").groupBy("key").agg(cuts.alias("cuts")))
-    rows = rows.join(load, "key")
-    mine = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.least(mine, o) * F.col("cuts") + F.greatest(mine, o))
-    rows = rows.withColumn("block", F.explode(pairs)).select("key", "block", "id", "comp", "items")
+    Members of a bucket's largest component are not compared with each other: those of the others ask, and all answer. Beyond
+    GROUP_ROWS members or GROUP_ITEMS shingles both sides are cut into blocks, and each pair of blocks is a group of its own. So
+    what a task holds is bounded whatever a bucket's size, and where one component holds most of it, its sets are copied
+    as often as the others fill blocks: once, as a rule."""
+    sized = written(left.join(sets.select("id", "n"), "id"))
+    parts = written(sized.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")))
+    load = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.max(F.struct("m", "comp", "n")).alias("l"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    blocks_of = lambda m, n: F.greatest(F.ceil(m / GROUP_ROWS), F.ceil(n / GROUP_ITEMS), F.lit(1)).cast("int")
+    load = written(load.select("key", "largest", blocks_of(F.col("m"), F.col("n")).alias("answers"), blocks_of(F.col("m") - F.col("l.m"), F.col("n") - F.col("l.n")).alias("asking")))
+    rows = sized.join(load, "key").select("key", "id", "comp", "asking", "answers", (F.col("comp") != F.col("largest")).alias("other"))
+    at = lambda cuts: F.pmod(F.xxhash64("id"), F.col(cuts)).cast("int")
+    each = lambda cuts: F.explode(F.sequence(F.lit(0), F.col(cuts) - 1))
+    asked = rows.select("key", each("asking").alias("i"), at("answers").alias("j"), "id", "comp", F.lit(False).alias("asks"))
+    asks = rows.where("other").select("key", at("asking").alias("i"), each("answers").alias("j"), "id", "comp", F.lit(True).alias("asks"))
+    both = asked.unionByName(asks).join(sets.select("id", "items"), "id").select("key", "i", "j", "id", "comp", "asks", "items")
 
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-        found = links_between(table.column("id").to_numpy(), table.column("comp").to_numpy(), sets, percent)
+        of = lambda c: table.column(c).to_numpy()
+        found = links_between(of("id"), of("comp"), of("asks").astype(bool), sets, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
+    return both.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

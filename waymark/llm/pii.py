@@ -1,7 +1,7 @@
 """Personal data: patterns find the protected entities, and an information-theoretic pass over the whole corpus finds
 terms that give them away. DataFrame functions only.
 
-Entities are the spans of the patterns. The corpus counts in how many different texts a term and an entity stand together,
+Entities are the spans of the patterns. A token whose own information is that of a key (`secret`) needs no corpus to be protected. The corpus counts in how many different texts a term and an entity stand together,
 wherever in the text, and in how many texts each stands at all; a term whose pointwise mutual information with an entity,
 and whose share of texts with that entity, exceed the disclosure thresholds reveals it, and its places are spans of the kind
 `term`. All counts are of distinct texts. In a sanitised text, entities are generalised to their kind and revealing terms to
@@ -19,7 +19,9 @@ from .common import let, row_key, written
 
 #: Kinds in the order of the contract; the method's own kind follows.
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+TERM, SECRET = "term", "secret"
+#: A token that gives itself away: hexadecimal digits of 128 bits or more, four bits each, letters and figures mixed.
+_SECRET = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
 #: The contract's patterns for Java, linear in the text: a match can start only where a run starts or the last match ended.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
@@ -123,13 +125,21 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-#: Rows of a table that may be broadcast; larger ones are joined by shuffle.
+def secrets(text: Column) -> Column:
+    """The spans of tokens that are keys by their own information."""
+    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Fa-f]")
+    return F.filter(find_all(text, _SECRET, SECRET), mixed)
+
+
+#: Rows of a table that may be broadcast, an element of an array counting as one; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """df (written) with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df (written) with a broadcast hint if its rows, with the elements of their arrays, are within the bound."""
+    arrays = [F.coalesce(F.greatest(F.size(f.name), F.lit(0)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "array"]
+    size = df.agg(F.coalesce(F.sum(sum(arrays, F.lit(1))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
 def _terms(text: Column) -> Column:
@@ -142,15 +152,15 @@ def _rest(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: doc_id, key (tells rows of one id apart), copy (the same for equal texts), spans of each kind, the
+    """For each row: doc_id, key (tells rows of one id apart), copy (the same for equal texts), spans of each kind, secrets, the
     different entities, and the terms of a text that holds any entity."""
     t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = t.select("doc_id", row_key("doc_id", "text").alias("key"), F.xxhash64("text").alias("copy"), "text", F.concat(*base_spans(F.col("text")).values()).alias("spans"))
+    t = t.select("doc_id", row_key("doc_id", "text").alias("key"), F.xxhash64("text").alias("copy"), "text", F.concat(*base_spans(F.col("text")).values()).alias("spans"), secrets(F.col("text")).alias("secrets"))
     # A filter on size() >= 0 keeps the spans in a column of their own instead of copying their expression to every use.
     t = t.where(F.size("spans") >= 0)
     entities = F.array_distinct(F.transform("spans", lambda e: F.xxhash64(e["kind"], e["value"])))
     terms = F.when(F.size("spans") > 0, _terms(_rest(F.col("text")))).otherwise(F.array().cast("array<string>"))
-    return t.select("doc_id", "key", "copy", "spans", entities.alias("entities"), terms.alias("terms"))
+    return t.select("doc_id", "key", "copy", "spans", "secrets", entities.alias("entities"), terms.alias("terms"))
 
 
 def _count(df: DataFrame, by: str | list[str], name: str) -> DataFrame:
@@ -176,7 +186,7 @@ def co_occurring(scanned: DataFrame, total: int) -> DataFrame:
     both = _count(near.select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term")), ["term", "entity"], "both")
     both = written(both.where(F.col("both") >= MIN_CONTEXTS))
     n_near = written(_count(held.select(F.explode("terms").alias("term")), "term", "n_near").where(F.col("n_near") >= MIN_CONTEXTS))
-    return both.join(n_near, "term").join(_bounded(n_entity), "entity").where(_exceeds("n_near", total)).select("term", "entity", "n_entity", "both")
+    return both.join(_bounded(n_near), "term").join(_bounded(n_entity), "entity").where(_exceeds("n_near", total)).select("term", "entity", "n_entity", "both")
 
 
 def term_hits(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
@@ -207,7 +217,7 @@ def _term_spans(text: Column, terms: Column) -> Column:
 
 def _by_start(spans: Column) -> Column:
     """By start, then kind in the listed order."""
-    order = F.create_map(*[x for i, k in enumerate((*KINDS, TERM)) for x in (F.lit(k), F.lit(i))])
+    order = F.create_map(*[x for i, k in enumerate((*KINDS, TERM, SECRET)) for x in (F.lit(k), F.lit(i))])
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("o"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.sort_array(keyed)
 
@@ -221,7 +231,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     scanned = scan(docs, doc_id, text)
     scanned = written(scanned)
     hits = term_hits(docs, scanned, doc_id, text)
-    base = scanned.select("doc_id", "key", "spans")
+    base = scanned.select("doc_id", "key", "spans", "secrets")
     if hits is None:
         both = base.withColumn("extra", F.array().cast(_SPANS))
     else:
@@ -233,12 +243,12 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         both = base.join(extra, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").drop("i", "k")
         both = both.withColumn("extra", F.coalesce("extra", F.array().cast(_SPANS)))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return both.select("doc_id", *[count(k) for k in KINDS], _by_start(F.col("spans")).alias("base"), _by_start(F.concat("spans", "extra")).alias("all"))
+    return both.select("doc_id", *[count(k) for k in KINDS], _by_start(F.col("spans")).alias("base"), _by_start(F.concat("spans", "secrets", "extra")).alias("all"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query over detect()'s rows."""
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.col("all")).alias("spans"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,7 +267,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         t = t.join(h, F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.key") == F.col("h.key")), "left")
         t = t.select("t.row", "t.text", F.coalesce("h.terms", F.array().cast("array<string>")).alias("terms"))
     extra = F.when(F.size("terms") > 0, _term_spans(F.col("text"), F.col("terms"))).otherwise(F.array().cast(_SPANS))
-    spans = _by_start(F.concat(*base_spans(F.col("text")).values(), extra))
+    spans = _by_start(F.concat(*base_spans(F.col("text")).values(), secrets(F.col("text")), extra))
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
