@@ -43,3 +43,12 @@ def test_entry(spark):
 
     rows = {r.k: r.recall for r in __spark_entry__.entry(spark).collect()}
     assert set(rows) == {1, 5, 10, 20} and rows[1] <= rows[5] <= rows[10] <= rows[20]
+
+
+def test_sampled_frames(spark):
+    rows = catalog.QUERIES["sampled_frames"](spark, oracle.DATA).collect()
+    for r in rows:
+        assert len(r.random) == len(set(r.random)) == len(r.headtail) == 8 and r.random == sorted(r.random) and 0 <= r.random[0] and r.random[-1] < r.length
+        head, tail = r.headtail[:4], r.headtail[4:]
+        assert head == sorted(set(head)) and tail == sorted(set(tail)) and head[-1] < r.length // 2 <= tail[0] and tail[-1] < r.length
+    assert len({tuple(r.random) for r in rows}) > len(rows) // 2

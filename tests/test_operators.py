@@ -168,3 +168,27 @@ def test_configs(tmp_path):
     assert load_ini(str(tmp_path / "c.ini")) == c
     with pytest.raises(ValueError, match="unknown similarity metric"):
         RetrievalConfig(similarity_metric="x")
+
+
+def test_search_takes_blocks_beyond_the_bound(spark, monkeypatch):
+    """A large database is never joined row by row; vectors of great norm keep their true neighbours."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 16)) * 1e-3 + 1e4
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "db_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, [float(x) for x in base[i] + 1e-4]) for i in range(0, 300, 50)], "query_id long, embedding array<double>")
+    want = {(i, int(j)) for i in range(0, 300, 50) for j in np.lexsort((np.arange(300), ((base - (base[i] + 1e-4)) ** 2).sum(axis=1)))[:5]}
+    small = knn.nearest(q, d, 5)
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 100)
+    large = knn.nearest(q, d, 5)
+    plan = large._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "MapInPandas" in plan
+    assert {(r.query_id, r.db_id) for r in large.collect()} == {(r.query_id, r.db_id) for r in small.collect()} == want
+
+
+def test_rings_with_few_and_far_points(spark):
+    d = spark.createDataFrame([(i, float(i), 0.0) for i in range(3)], "db_id long, e double, n double")
+    q = spark.createDataFrame([(0, 0.0, 0.0), (1, 90000.0, 5.0)], "query_id long, e double, n double")
+    got = sorted((r.query_id, r.rank, r.db_id) for r in geo.nearest_by_rings(q, d, 5).collect())
+    assert got == [(0, 1, 0), (0, 2, 1), (0, 3, 2), (1, 1, 2), (1, 2, 1), (1, 3, 0)]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text, vectors
-from ..operators import lookup, metrics
+from ..functions import numbers, text
+from ..operators import lookup, metrics, reshape
 from . import query
 from . import relations as R
 
@@ -77,8 +77,8 @@ def match_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, (dim - 1)::INT AS dim, round(m, 6) AS mean, round(x, 6) AS max FROM v"""
 )
 def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = R.table(spark, sf_dir, "embeddings").select("label", F.posexplode(vectors.as_double(F.col("embedding"))).alias("dim", "x"))
-    return e.groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("max"))
+    pooled = reshape.pooled(R.table(spark, sf_dir, "embeddings"), "label")
+    return pooled.select("label", "dim", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("max"))
 
 
 @query("SELECT 'R@1: ' || printf('%.1f', 100.0 * sum((label = 1)::INT) / count(*)) || ', R@5: ' || printf('%.1f', 100.0 * sum((label <= 5)::INT) / count(*)) AS line FROM embeddings")

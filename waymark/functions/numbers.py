@@ -59,6 +59,20 @@ def uniform_frames(start: Column, end: Column, length: Column, n: int) -> Column
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(start + i * step).cast("long")), lambda f: f < end)
 
 
+def random_frames(key: Column, length: Column, n: int, seed: int, first: Column | None = None) -> Column:
+    """n different frames of first .. length - 1, in order, chosen evenly by key and seed; all of them if there are no more."""
+    start = F.lit(0) if first is None else first
+    frames = F.when(length > start, F.sequence(start.cast("long"), length.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    drawn = F.array_sort(F.transform(frames, lambda i: F.struct(F.xxhash64(F.lit(seed), key, i).alias("u"), i.alias("i"))))
+    return F.sort_array(F.transform(F.slice(drawn, 1, n), lambda x: x["i"]))
+
+
+def head_and_tail_frames(key: Column, length: Column, n: int, seed: int) -> Column:
+    """n // 2 frames of the first half, then n // 2 of the second."""
+    half = F.floor(length / 2)
+    return F.concat(random_frames(key, half, n // 2, seed), random_frames(key, length, n // 2, seed + 1, half))
+
+
 def tile_ratio(width: Column, height: Column, size: int = 448, most: int = 12) -> Column:
     """struct(w, h): the grid of at most `most` tiles nearest to the image's shape; of equal ones the larger if the image fills half of it.
 

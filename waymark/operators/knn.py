@@ -1,7 +1,7 @@
 """Nearest neighbours and similarity search.
 
-Two physical ways with one result. `columns`: a cross join of the queries' rows with the database and a rank, all in
-expressions; the database side is broadcast only while it is small. `blocks`: the queries, a bounded set taken in blocks, go to
+Two physical ways with one result; a caller that names none gets `columns` for a database of up to BROADCAST_ROWS rows, by a
+limited count, and `blocks` beyond. `columns`: the queries' rows meet the broadcast database, all in expressions. `blocks`: the queries, a bounded set taken in blocks, go to
 every partition of the database, which multiplies matrices and keeps its k best for each query; the partitions' lists are then
 ranked. The second moves k rows for each query and partition, whatever the database's size.
 
@@ -30,13 +30,15 @@ def rank_best(pairs: DataFrame, k: int, query: str, order: list, name: str = "ra
     return pairs.withColumn(name, F.row_number().over(w).cast("int")).where(F.col(name) <= k)
 
 
-def search(queries: DataFrame, database: DataFrame, metric: str = "cosine", k: int = 5, threshold: float = 0.0, normalise: bool = True, way: str = "columns") -> DataFrame:
+def search(queries: DataFrame, database: DataFrame, metric: str = "cosine", k: int = 5, threshold: float = 0.0, normalise: bool = True, way: str | None = None) -> DataFrame:
     """(query_id, rank, db_id, similarity) of (query_id, embedding) against (db_id, embedding).
 
     The threshold counts only above 0, so it empties the results of metrics that are never positive."""
     if metric not in vectors.SIMILARITY:
         raise ValueError(f"unknown similarity metric: {metric}")
     q, d = queries.select("query_id", F.col("embedding").alias("qe")).where("qe is not null"), database.select("db_id", F.col("embedding").alias("de")).where("de is not null")
+    if way is None:
+        way = "columns" if d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocks"
     if way == "blocks":
         pairs = _blocks(q, d, metric, k, threshold, normalise)
     else:
@@ -45,15 +47,13 @@ def search(queries: DataFrame, database: DataFrame, metric: str = "cosine", k: i
             sim = vectors.dot(F.col("qe"), F.col("de"))
         else:
             sim = vectors.similarity(metric, F.col("qe"), F.col("de"), normalise)
-        q = q.repartition("query_id")
-        small = d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        pairs = q.crossJoin(F.broadcast(d) if small else d).select("query_id", "db_id", sim.alias("similarity"))
+        pairs = q.repartition("query_id").crossJoin(F.broadcast(d)).select("query_id", "db_id", sim.alias("similarity"))
         if threshold > 0:
             pairs = pairs.where(F.col("similarity") >= threshold)
     return rank_best(pairs, k, "query_id", [F.desc("similarity"), F.asc("db_id")]).select("query_id", "rank", "db_id", "similarity")
 
 
-def nearest(queries: DataFrame, database: DataFrame, k: int = 20, way: str = "columns") -> DataFrame:
+def nearest(queries: DataFrame, database: DataFrame, k: int = 20, way: str | None = None) -> DataFrame:
     """(query_id, rank, db_id, distance) by squared Euclidean distance; fewer rows where the database has fewer."""
     return search(queries, database, "euclidean", k, way=way).select("query_id", "rank", "db_id", (-F.col("similarity")).alias("distance"))
 
@@ -69,36 +69,58 @@ def _similarities(q: np.ndarray, d: np.ndarray, metric: str, normalise: bool) ->
     return q @ d.T
 
 
-def _exact(x: np.ndarray, rows: np.ndarray, metric: str, normalise: bool) -> np.ndarray:
-    """The same for one query, by differences."""
+def _exact(q: np.ndarray, rows: np.ndarray, metric: str, normalise: bool) -> np.ndarray:
+    """The same for pairs of rows, by differences."""
     if metric == "euclidean":
-        return -((rows - x) ** 2).sum(axis=1)
-    return _similarities(x[None, :], rows, metric, normalise)[0]
+        return -((rows - q) ** 2).sum(axis=1)
+    if metric == "manhattan":
+        return -np.abs(rows - q).sum(axis=1)
+    dots = (q * rows).sum(axis=1)
+    if not normalise:
+        return dots
+    return dots / ((np.linalg.norm(q, axis=1) + 1e-8) * (np.linalg.norm(rows, axis=1) + 1e-8))
+
+
+def _slack(q: np.ndarray, d: np.ndarray, metric: str, normalise: bool) -> np.ndarray:
+    """How far a product may be from the score by differences, for each query: rounding grows with the norms and the dimension."""
+    a, b = np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1).max(initial=0.0)
+    scale = np.ones(len(q)) if metric in ("cosine", "dot_product") and normalise else (a + b) ** 2
+    return 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps * scale
+
+
+def _first_of_each(group: np.ndarray, k: int) -> np.ndarray:
+    """Of rows sorted by group, the first k of each."""
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group)))) < k
 
 
 def _blocks(queries: DataFrame, database: DataFrame, metric: str, k: int, threshold: float, normalise: bool) -> DataFrame:
-    """Each partition's k best of each query: found by matrix products with a margin, scored again by differences."""
+    """Each partition's k best of each query: found by matrix products up to their rounding, scored again by differences."""
     out = None
     for block in _query_blocks(queries):
         ids = np.array([r[0] for r in block])
         q = np.array([r[1] for r in block], np.float64)
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "db_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+            at, name, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
                 if not len(batch):
                     continue
                 d = np.stack(batch["de"].to_numpy()).astype(np.float64)
                 names = batch["db_id"].to_numpy()
-                found = [best]
-                for at in range(0, len(q), 256):
-                    rough = _similarities(q[at : at + 256], d, metric, normalise)
-                    many = min(len(d), k + 8)
-                    for i, row in enumerate(rough):
-                        floor = np.partition(row, len(row) - many)[len(row) - many]
-                        top = np.flatnonzero(row >= floor - 1e-9)
-                        found.append(pd.DataFrame({"query_id": ids[at + i], "db_id": names[top], "similarity": _exact(q[at + i], d[top], metric, normalise)}))
-                best = pd.concat(found).sort_values(["query_id", "similarity", "db_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+                found = [(at, name, score)]
+                for first in range(0, len(q), 256):
+                    some = q[first : first + 256]
+                    rough = _similarities(some, d, metric, normalise)
+                    many = min(len(d), k)
+                    floor = np.partition(rough, len(d) - many, axis=1)[:, len(d) - many]
+                    i, j = np.nonzero(rough >= (floor - 2 * _slack(some, d, metric, normalise))[:, None])
+                    found.append((i + first, names[j], _exact(some[i], d[j], metric, normalise)))
+                at, name, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((name, -score, at))
+                order = order[_first_of_each(at[order], k)]
+                at, name, score = at[order], name[order], score[order]
+            best = pd.DataFrame({"query_id": ids[at] if len(at) else at, "db_id": name, "similarity": score})
             yield best[best["similarity"] >= threshold] if threshold > 0 else best
 
         part = database.mapInPandas(run, "query_id long, db_id long, similarity double")

@@ -93,8 +93,9 @@ def eta(steps: DataFrame, total: int) -> DataFrame:
 
 def ring_buffer(rows: DataFrame, order: str, size: int) -> DataFrame:
     """The rows that a buffer of size slots holds at the end, with their slots: the last size rows."""
-    placed = rows.withColumn("_i", F.row_number().over(W.orderBy(order)) - 1)
-    return placed.withColumn("slot", F.pmod("_i", F.lit(size)).cast("int")).withColumn("_k", F.max("_i").over(W.partitionBy("slot"))).where("_i = _k").drop("_i", "_k")
+    n = rows.count()
+    last = rows.orderBy(F.desc(order)).limit(size)  # each task keeps its last; the window is over size rows
+    return last.withColumn("slot", F.pmod(F.lit(n) - F.row_number().over(W.orderBy(F.desc(order))), F.lit(size)).cast("int"))
 
 
 def histogram(df: DataFrame, value: str, group: str, bins: int = 30) -> DataFrame:

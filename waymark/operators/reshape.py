@@ -57,6 +57,12 @@ def change_sample(df: DataFrame, old: str, new: str, columns: list[str], rows: i
     return out
 
 
+def pooled(vectors: DataFrame, group: str, embedding: str = "embedding") -> DataFrame:
+    """(group, dim, mean, max) of the vectors of each group: pooling over tokens or frames. Sums and maxima are formed before rows move."""
+    each = vectors.select(group, F.posexplode(F.col(embedding).cast("array<double>")).alias("dim", "_x"))
+    return each.groupBy(group, "dim").agg(F.avg("_x").alias("mean"), F.max("_x").alias("max"))
+
+
 def tiles(images: DataFrame, size: int = 448, most: int = 12, thumbnail: bool = True) -> DataFrame:
     """(image, tile, left, top, right, bottom): the boxes of each image's grid; a thumbnail is tile -1 where there is more than one."""
     from ..functions import numbers

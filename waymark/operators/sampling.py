@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def uniform(seed: int, *keys) -> Column:
     """A number in (0, 1) from keys."""
@@ -36,7 +37,8 @@ def negatives(similarities: DataFrame, index: DataFrame, seed: int) -> DataFrame
 
 def derangement(df: DataFrame, key: str, seed: int, name: str = "partner") -> DataFrame:
     """Each key with another key, every one once: the successor in a seeded cyclic order. One key alone has itself."""
-    order = W.orderBy("_u", key)
-    shuffled = df.select(key, uniform(seed, key).alias("_u"))
-    after = F.lead(key).over(order)
-    return shuffled.select(key, F.coalesce(after, F.first(key).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias(name))
+    from ..sources.images import numbered
+
+    placed = cut(numbered(df.select(key, F.struct(uniform(seed, key), F.col(key)).alias("_u")), "_u", "_at").drop("_u"))
+    before = placed.select(F.col(key).alias(name), F.pmod(F.col("_at") - 1, F.lit(max(1, placed.count()))).alias("_at"))
+    return placed.join(before, "_at").select(key, name)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution sizes and splits shuffle partitions; scans are cut so that partitions fit in memory.
 SETTINGS = {
@@ -21,3 +23,16 @@ def session(name: str = "waymark", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that spark.checkpoint.dir names: later steps read it instead of deriving it again.
+
+    Without the setting a local master takes a temporary folder; on a cluster that is an error, since executors share none."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-"))
+    return df.checkpoint()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import paths, text
 from ..operators import lookup
+from . import images
 
 
 def read(spark: SparkSession, kind: str, *files: str, lines: bool = False) -> DataFrame:
@@ -25,8 +26,8 @@ def caption_train(spark: SparkSession, path: str, image_root: str, prompt: str =
 def retrieval_eval(spark: SparkSession, path: str, image_root: str, max_words: int = 30) -> tuple[DataFrame, DataFrame]:
     """(images, texts): (img_id, image) and (txt_id, img_id, caption) in the file's order."""
     rows = read(spark, "retrieval_eval", path).withColumn("pos", F.monotonically_increasing_id())
-    images, texts = lookup.caption_maps(rows, "pos", "caption")
-    return images.withColumn("image", paths.joined(image_root, F.col("image"))), texts.withColumn("caption", text.caption(F.col("caption"), max_words))
+    pictures, texts = lookup.caption_maps(rows, "pos", "caption")
+    return pictures.withColumn("image", paths.joined(image_root, F.col("image"))), texts.withColumn("caption", text.caption(F.col("caption"), max_words))
 
 
 def caption_eval(spark: SparkSession, path: str, image_root: str) -> DataFrame:
@@ -44,8 +45,8 @@ def nlvr(spark: SparkSession, path: str, image_root: str, max_words: int = 40) -
 
 
 def nlvr_rows(rows: DataFrame, image_root: str = "", max_words: int = 40) -> DataFrame:
-    images = [paths.joined(image_root, F.get("images", F.lit(i))).alias(f"image{i}") for i in (0, 1)]
-    return rows.select(*images, text.caption(F.col("sentence"), max_words).alias("sentence"), F.when(F.col("label") == "True", 1).otherwise(0).alias("label"))
+    both = [paths.joined(image_root, F.get("images", F.lit(i))).alias(f"image{i}") for i in (0, 1)]
+    return rows.select(*both, text.caption(F.col("sentence"), max_words).alias("sentence"), F.when(F.col("label") == "True", 1).otherwise(0).alias("label"))
 
 
 def vqa(spark: SparkSession, *files: str, roots: dict[str, str], max_words: int = 50) -> DataFrame:
@@ -64,5 +65,5 @@ def pretrain(spark: SparkSession, files: list[str], shards: list[str] = (), epoc
 
 def video(spark: SparkSession, path: str, root: str) -> DataFrame:
     """(video, caption, txt_id) of an object a line."""
-    rows = read(spark, "video", path, lines=True).withColumn("txt_id", F.monotonically_increasing_id())
+    rows = images.numbered(read(spark, "video", path, lines=True).withColumn("_o", F.monotonically_increasing_id()), "_o", "txt_id")
     return rows.select(F.concat(paths.joined(root, F.col("clip_name")), F.lit(".mp4")).alias("video"), "caption", "txt_id")

@@ -22,7 +22,7 @@ def descriptions_by_hand(spark: SparkSession, path: str, delimiter: str | None =
     Without a delimiter, that of comma, semicolon, tab and bar is taken which the header has most often."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     if delimiter is None:
-        head = lines.first()
+        head = lines.orderBy("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).first()
         delimiter = max(",;\t|", key=lambda c: head.value.count(c)) if head else ","
     header = text.unquoted(F.trim(F.element_at(F.split("value", "[" + ("\\t" if delimiter == "\t" else delimiter) + "]", 2), 1)))
     pattern = "\\t" if delimiter == "\t" else "[" + delimiter + "]"
