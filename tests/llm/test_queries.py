@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import oracle
 import pytest
+from edge_texts import EDGES
 from test_groups import components, personal
 from test_rows import measured
 
@@ -64,6 +67,37 @@ def test_short_items_are_found_inside_texts(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()} == {4, 5, 6}
 
 
+def encoded(t):
+    tokenizers = pytest.importorskip("tokenizers")
+    model = tokenizers.Tokenizer.from_file(queries.vocabulary_path())
+    model.no_truncation()
+    model.no_padding()
+    return model.encode(t or "", add_special_tokens=False).ids
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null, empty, long and repeated texts, null and repeated ids, and columns with the operators' own names, through all stages."""
+    prose = lambda k, n=80: " ".join("w" + "".join(chr(97 + i) for i in x) for x in np.random.default_rng(k).integers(0, 26, (n, 4)))
+    texts = [*EDGES, (20, prose(1)), (21, prose(1)), (21, prose(1)), (22, prose(2) + " mail a.b@c.de"), (None, prose(3)), (None, None), (23, prose(4) + " what is the first item of all"), (24, prose(5, 30000)), (25, prose(6) + " ###" * 60)]
+    rows = [(i, t, "en", "s", None if t is None else len(t), 1, "x", "y", 2.0, 3) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fail_bits long, row string, key string, terms double, component long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "What is the FIRST item of all?"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    part = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        part = stage(spark, part, str(tmp_path))
+        assert part.dtypes == docs.dtypes
+    kept = sorted((str(r.doc_id), r.text, r.n_chars) for r in part.collect())
+    want = sorted((str(i), t, len(t)) for i, t in ((20, prose(1)), (22, prose(2) + " mail [EMAIL]"), (None, prose(3)), (24, prose(5, 30000))))
+    assert kept == want
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in out) == sorted((i, len(encoded(t)), hashlib.sha256(np.array(encoded(t), "<u4").tobytes()).hexdigest()) for i, t, _ in want)
+    assert all(r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for r in out for i, t, _ in want if str(r.doc_id) == i)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    docs.limit(0).select("doc_id", "text").withColumnRenamed("doc_id", "item_id").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_entry_without_the_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[2]
     for name in ("__spark_entry__.py", "waymark"):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let
+from .common import SPACES, let, written
 
 SYMBOLS = "#*$%&|<>"
 _WORD_GAP = "[\\x20\\x09-\\x0D]"
@@ -152,16 +152,18 @@ def ablations(book: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     )
 
 
-def reject(docs: DataFrame, policy: str = PRODUCTION, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with the columns of docs.
+def stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger, written to the shared folder: the texts are read once, and policies and ablations read what is stored."""
+    return written(ledger(docs, doc_id, text))
+
 
-    The verdict is computed from the text in the same row, so there is no join and repeated or null ids do not matter."""
-    cols = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    book = _keep_row(whole)
-    return book.where(verdict(policy)).select("row.*")
+def stored_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger with each row of docs beside its entry, as a struct `row`, written. Nothing has to be joined back, so repeated or null ids do not matter."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    book = ledger(whole.select(F.struct("row", "doc_id").alias("id"), "text"), "id", "text")
+    return written(book.select(F.col("doc_id.row").alias("row"), F.col("doc_id.doc_id").alias("doc_id"), *[c for c in book.columns if c != "doc_id"]))
 
 
-def _keep_row(whole: DataFrame) -> DataFrame:
-    """The ledger with the source row beside it: the id column carries the row through."""
-    return ledger(whole.select(F.struct("row").alias("id"), "text"), "id", "text").select(F.col("doc_id.row").alias("row"), "fail_bits")
+def reject(docs: DataFrame, policy: str = PRODUCTION, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that the policy keeps by the stored ledger, with the columns of docs."""
+    return stored_rows(docs, doc_id, text).where(verdict(policy)).select("row.*")

@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.ledger(_table(spark, sf_dir, "documents"))
+    book = quality.stored(_table(spark, sf_dir, "documents"))
     failed = ~quality.verdict("base")
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
