@@ -36,7 +36,7 @@ SHIFT, LIMIT = 4096, 32767
 #: A pair whose estimate is so far below the threshold (5 standard deviations at REGISTERS) is no candidate.
 MARGIN = 0.13
 #: Members and shingles of a bucket that one task compares with as many; larger buckets are cut into pairs of blocks.
-GROUP_ROWS, GROUP_ITEMS = 2048, 2_000_000
+GROUP_ROWS, GROUP_ITEMS = 1024, 1_000_000
 #: Ids that may be broadcast to pick the texts to verify; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
