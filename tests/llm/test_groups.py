@@ -187,17 +187,6 @@ def test_suffix_dedup_against_brute_force(docs):
     assert suffix.dedup(docs([])).count() == 0
 
 
-def test_shared_bytes(docs):
-    """A passage of 272 bytes in two documents is seen by n_shared; one in a single document, or a shared one under 145 bytes, is not."""
-    rng = np.random.default_rng(8)
-    text = lambda n: "".join(chr(97 + i) for i in rng.integers(0, 26, n))
-    passage, short, own = text(272), text(140), text(300)
-    texts = [(1, text(500) + passage + text(90)), (2, text(33) + passage), (3, text(700) + short), (4, short + text(500)), (5, own + text(20) + own), (6, text(3000)), (7, None), (8, text(400) + passage[:144] + text(300))]
-    got = {r.doc_id: r for r in suffix.dedup(docs(texts)).collect()}
-    assert {i for i, r in got.items() if r.n_shared} == {1, 2} and all(145 <= got[i].n_shared <= 272 for i in (1, 2))
-    assert not any(r.n_removed for r in got.values())
-
-
 def mutated(rng, n, symbols, many):
     """Variants of a few sequences with single changes, so that runs of one anchor differ in many ways."""
     bases = [rng.integers(0, symbols, n) for _ in range(3)]

@@ -28,6 +28,11 @@ def test_query_equals_its_sql(spark, name):
     oracle.assert_same(got.select(*wanted), sql.ORACLES[name])
 
 
+def test_suffix_dedup_has_the_columns_of_its_sql(spark):
+    got = queries.QUERIES["op7_suffix_dedup"](spark, oracle.DATA)
+    assert sorted(got.columns) == sorted(oracle.connection().sql(sql.ORACLES["op7_suffix_dedup"]).columns)
+
+
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
 
