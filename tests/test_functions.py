@@ -121,3 +121,13 @@ def test_small_formulas(spark):
     assert one(spark, numbers.ema(F.array(F.lit(1.0), F.lit(3.0)), 0.5)) == 2.0
     assert one(spark, numbers.uniform_frames(F.lit(0), F.lit(8), F.lit(8), 4)) == [0, 2, 4, 6]
     assert one(spark, numbers.batch_rows(F.lit(12), "clip")) == 32
+
+
+def test_sentences(spark):
+    assert one(spark, text.sentences(F.lit("A b. c d. E?\n\n(F.) G"))) == ["A b. c d.", "E?", "(F.)", "G"]
+    assert one(spark, text.sentences(F.lit("  "))) == one(spark, text.sentences(F.lit(""))) == [] and one(spark, text.sentences(F.lit(None).cast("string"))) is None
+
+
+def test_alternatives(spark):
+    assert one(spark, paths.alternatives(F.lit("/mnt/c/a b/x.jpg")))[:3] == ["C:\\a b\\x.jpg", "/mnt/c/a b/x.jpg", "\\mnt\\c\\a b\\x.jpg"]
+    assert set(one(spark, paths.alternatives(F.lit('"~/x.jpg"'), "/cwd", "/home/u"))) == {"~/x.jpg", "~\\x.jpg", "/cwd/~/x.jpg", "/home/u/x.jpg"}

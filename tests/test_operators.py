@@ -192,3 +192,41 @@ def test_rings_with_few_and_far_points(spark):
     q = spark.createDataFrame([(0, 0.0, 0.0), (1, 90000.0, 5.0)], "query_id long, e double, n double")
     got = sorted((r.query_id, r.rank, r.db_id) for r in geo.nearest_by_rings(q, d, 5).collect())
     assert got == [(0, 1, 0), (0, 2, 1), (0, 3, 2), (1, 1, 2), (1, 2, 1), (1, 3, 0)]
+
+
+def test_bleu_against_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from waymark.operators import captions
+
+    rng = random.Random(3)
+    words = lambda: " ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 14)))
+    cands = {i: words() for i in range(40)} | {99: "no reference here"}
+    refs = {(i, k): words() for i in range(40) for k in range(1, 4)}
+    hit, total, own, wanted = Counter(), Counter(), 0, 0
+    for i, t in cands.items():
+        if i == 99:
+            continue
+        w, others = t.split(), [refs[i, k].split() for k in range(1, 4)]
+        own, wanted = own + len(w), wanted + min((abs(len(o) - len(w)), len(o)) for o in others)[1]
+        for n in range(1, 5):
+            grams = lambda x: Counter(tuple(x[p : p + n]) for p in range(len(x) - n + 1))  # noqa: E731, B023
+            g, rs = grams(w), [grams(o) for o in others]
+            total[n] += sum(g.values())
+            hit[n] += sum(min(c, max(r[x] for r in rs)) for x, c in g.items())
+    want = {n: min(1.0, math.exp(1 - wanted / own)) * math.prod(hit[k] / total[k] for k in range(1, n + 1)) ** (1 / n) for n in range(1, 5)}
+    c = spark.createDataFrame(list(cands.items()), "id long, text string")
+    r = spark.createDataFrame([(i, k, t) for (i, k), t in refs.items()], "id long, ref long, text string")
+    got = {x.n: x.bleu for x in captions.bleu(c, r).collect()}
+    assert got == pytest.approx(want)
+    assert {x.n: x.bleu for x in captions.bleu(c.limit(0), r).collect()} == dict.fromkeys(range(1, 5), 0.0)
+
+
+def test_yaml_configs(tmp_path):
+    pytest.importorskip("yaml")
+    from waymark.config import load_yaml, save_yaml
+
+    save_yaml(PRESETS["blip_large"], str(tmp_path / "c.yaml"))
+    assert load_yaml(str(tmp_path / "c.yaml")) == PRESETS["blip_large"]

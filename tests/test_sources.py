@@ -107,3 +107,36 @@ def test_reports(spark):
     assert got == "Query path:\nq\n\nPredictions paths:\na\nb\n\nPositives paths:\nc\n"
     res = spark.createDataFrame([("x", 2, "b", 0.5), ("x", 1, "a", 0.9)], "query string, rank int, path string, similarity double")
     assert [r["path"] for r in json.loads(sinks.search_json(res).first().value)["results"]] == ["a", "b"]
+
+
+def test_backup(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    at = datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC)
+    to = sinks.backup(spark, str(tmp_path / "a.csv"), at)
+    assert to.endswith("a.csv.backup_20240506_070809") and (tmp_path / "a.csv.backup_20240506_070809").read_text() == "x\n1\n"
+    with pytest.raises(FileExistsError):
+        sinks.backup(spark, str(tmp_path / "a.csv"), at)
+
+
+def test_polling_and_retries():
+    from waymark.sources import jobs
+
+    states, naps = iter(["RUNNING", "RUNNING", "DONE"]), []
+    assert jobs.poll(lambda: next(states), {"DONE", "FAILED"}, sleep=naps.append) == "DONE" and naps == [30.0, 30.0]
+    with pytest.raises(TimeoutError):
+        jobs.poll(lambda: "RUNNING", {"DONE"}, limit=60, sleep=naps.append)
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return 7
+
+    assert jobs.retried(flaky, sleep=naps.append) == 7 and len(calls) == 3
+    with pytest.raises(OSError):
+        jobs.retried(lambda: (_ for _ in ()).throw(OSError("down")), times=2, sleep=naps.append)
+    with pytest.raises(KeyError):
+        jobs.retried(lambda: {}["x"], sleep=naps.append)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, paths, text, vectors
-from ..operators import dedup, lookup, metrics, reshape
+from ..operators import captions, dedup, lookup, metrics, reshape
 from ..sources import images
 from . import query
 from . import relations as R
@@ -123,3 +123,33 @@ def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     length = 8 + k % 90
     return R.table(spark, sf_dir, "part").select("p_partkey", length.alias("length"), numbers.random_frames(k, length, 8, 7).alias("random"), numbers.head_and_tail_frames(k, length, 8, 7).alias("headtail"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn > 0)),
+g AS (SELECT conv_id, turn, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram, count(*) AS c FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest(range(1, 5)) AS n FROM w)) GROUP BY ALL),
+m AS (SELECT conv_id, n, gram, max(c) AS m FROM g WHERE turn > 0 GROUP BY ALL),
+p AS (SELECT n, sum(least(c, coalesce(m, 0))) / sum(c) AS p FROM (SELECT * FROM g WHERE turn = 0) LEFT JOIN m USING (conv_id, n, gram) GROUP BY n),
+l AS (SELECT a.conv_id, len(a.w) AS own, arg_min(len(b.w), (abs(len(a.w) - len(b.w)), len(b.w))) AS wanted FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0 GROUP BY ALL),
+s AS (SELECT least(1.0, exp(1 - sum(wanted) / sum(own))) AS bp FROM l)
+SELECT k.n::INT AS n, round(bp * CASE WHEN min(p.p) > 0 THEN exp(avg(ln(nullif(p.p, 0)))) ELSE 0 END, 9) AS bleu FROM range(1, 5) k(n) JOIN p ON p.n <= k.n, s GROUP BY k.n, bp"""
+)
+def caption_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's first turn as the candidate, its other turns as references."""
+    t = R.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("ref"), "text")
+    return captions.bleu(t.where("ref = 0").drop("ref"), t.where("ref > 0")).select("n", F.round("bleu", 9).alias("bleu"))
+
+
+@query("SELECT page_id, '/img/a b ' || page_id || '.jpg' AS path, CASE page_id % 3 WHEN 0 THEN '/img/a b ' || page_id || '.jpg' WHEN 1 THEN '/img/a%20b%20' || page_id || '.jpg' END AS existing FROM pages")
+def alternative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with spaces; a third of the files is there as named, a third with the spaces escaped."""
+    k = F.col("page_id")
+    p = R.table(spark, sf_dir, "pages").select(k, F.concat(F.lit("/img/a b "), _s(k), F.lit(".jpg")).alias("path"))
+    found = p.where("page_id % 3 < 2").select(F.when(k % 3 == 1, F.replace("path", F.lit(" "), F.lit("%20"))).otherwise(F.col("path")).alias("path"))
+    return images.first_existing(p, found).select("page_id", "path", "existing")
+
+
+@query("SELECT item_id, unnest(['One of item ' || item_id || '.', 'Is it 3.5, e.g. so?', '\"Yes!\"', 'Last']) AS sentence FROM benchmark")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit(" One of item "), _s(F.col("item_id")), F.lit(".\nIs it 3.5, e.g. so?  \"Yes!\" Last "))
+    return R.table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.sentences(t)).alias("sentence"))

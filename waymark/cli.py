@@ -39,11 +39,13 @@ def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def replace_paths(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Replaces a part of the paths in a CSV; --dry-run only counts."""
+    """Replaces a part of the paths in a CSV; --dry-run only counts, --backup keeps a copy of the CSV."""
     df = spark.read.option("header", True).csv(a.csv)
     out, counts = reshape.replaced_paths(df, a.old, a.new, a.columns)
     counts.show(truncate=False)
     if not a.dry_run:
+        if a.backup:
+            print(sinks.backup(spark, a.csv))
         sinks.csv(out, a.output or sinks.versioned(a.csv.removesuffix(".csv")))
 
 
@@ -122,7 +124,7 @@ def parser() -> argparse.ArgumentParser:
     need, flag, num = {"required": True}, {"action": "store_true"}, lambda d: {"type": int, "default": d}
     command(analyze, ("--reference", need), ("--query", need), ("--output", {"default": "results"}), ("--top-k", num(5)), ("--debug", flag), ("--debug-n", num(5)), ("--debug-k", num(3)))
     command(statistics, ("csv", {}))
-    command(replace_paths, ("csv", {}), ("old", {}), ("new", {}), ("--columns", {"nargs": "*"}), ("--dry-run", flag), ("--output", {}))
+    command(replace_paths, ("csv", {}), ("old", {}), ("new", {}), ("--columns", {"nargs": "*"}), ("--dry-run", flag), ("--backup", flag), ("--output", {}))
     command(rebase_paths, ("csv", {}), ("base", {}), ("--output", need), ("--query_col", {"default": "query_image_path"}), ("--change_references", flag), ("--ref_prefix", {"default": "reference_"}), ("--ref_suffix", {"default": "_path"}))
     command(text_to_csv, ("input", {}), ("output", {}))
     command(retrieve, ("--queries", need), ("--database", need), ("--output", need), ("--preset", {"choices": list(config.PRESETS)}), ("--config", {}), ("--top_k", {"type": int}), ("--metric", {"choices": config.METRICS}), ("--threshold", {"type": float}))

@@ -140,6 +140,14 @@ def load_yaml(path: str, base: RetrievalConfig = RetrievalConfig()) -> Retrieval
     return dataclasses.replace(base, **values)
 
 
+def save_yaml(config, path: str) -> None:
+    """The fields of a configuration as YAML; needs the yaml package."""
+    import yaml
+
+    values = {k: list(v) if isinstance(v, tuple) else v for k, v in dataclasses.asdict(config).items()}
+    Path(path).write_text(yaml.safe_dump(values, sort_keys=False, allow_unicode=True), encoding="utf-8")
+
+
 def resolve(preset: str | None = None, file: str | None = None, **overrides: Any) -> RetrievalConfig:
     """A preset before a file before the defaults; overrides that are not None win."""
     if preset is not None and preset not in PRESETS:

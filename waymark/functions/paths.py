@@ -91,6 +91,16 @@ def wsl_to_windows(path: Column) -> Column:
     return F.when(path.startswith("/mnt/"), F.replace(F.replace(path, F.lit("/mnt/c/"), F.lit("C:\\")), F.lit("/"), F.lit("\\"))).otherwise(path)
 
 
+def alternatives(path: Column, folder: str = "/", home: str = "~") -> Column:
+    """Where a file may lie, the likeliest first, each once: the Windows form, the path itself, with either separator only, below folder
+    if it is relative, with ~ as home, and with spaces escaped. Quotes are left out."""
+    windows = F.replace(wsl_to_windows(path), F.lit('"'), F.lit(""))
+    plain = F.replace(path, F.lit('"'), F.lit(""))
+    expanded = F.when(windows.startswith("~/"), F.concat(F.lit(home), F.substring(windows, 2, 1 << 30))).otherwise(windows)
+    forms = [windows, plain, F.translate(plain, "\\", "/"), F.translate(plain, "/", "\\"), joined(folder, windows), expanded, F.replace(windows, F.lit(" "), F.lit("%20"))]
+    return F.array_distinct(F.array(*forms))
+
+
 def stem(name: Column) -> Column:
     """The name without its last extension; a leading dot is none."""
     return F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")

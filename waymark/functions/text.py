@@ -76,6 +76,14 @@ def wrapped(text: Column, width: int = 50) -> Column:
     return F.when(F.length(text) <= width, text).otherwise(folded)
 
 
+def sentences(text: Column) -> Column:
+    """The sentences, trimmed: a full stop, question or exclamation mark, quotes or brackets that close, white space, and then no lower-case letter.
+
+    A rule without a list of abbreviations, so one before a capital ends a sentence."""
+    ends = r"(?<=[.!?][\"')\]]{0,2})\s+(?![a-z\s])"
+    return F.filter(F.transform(F.split(text, ends, -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
 def recall_line(values: dict[int, Column]) -> Column:
     """'R@1: x.x, R@5: ...'."""
     return F.concat_ws(", ", *[F.concat(F.lit(f"R@{k}: "), F.format_string("%.1f", v)) for k, v in values.items()])

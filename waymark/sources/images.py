@@ -58,6 +58,13 @@ def with_coordinates(images: DataFrame, path: str = "path", pattern: str = paths
     return out if keep_unparsed else out.where(F.col("utm_east").isNotNull() & F.col("utm_north").isNotNull())
 
 
+def first_existing(wanted: DataFrame, found: DataFrame, path: str = "path", folder: str = "/", home: str = "~") -> DataFrame:
+    """wanted with `existing`: the first of the path's alternatives that is a path of found (a scan), or null. Equal paths have equal results."""
+    each = wanted.select(path).distinct().select(F.col(path).alias("_w"), F.posexplode(paths.alternatives(F.col(path), folder, home)).alias("_k", "_p"))
+    there = each.join(found.select(F.col("path").alias("_p")).distinct(), "_p").groupBy("_w").agg(F.min_by("_p", "_k").alias("existing"))
+    return wanted.join(there, F.col(path) == F.col("_w"), "left").drop("_w")
+
+
 def relative(images: DataFrame, folder: str, path: str = "path") -> DataFrame:
     return images.withColumn(path, paths.relative(F.col(path), folder))
 

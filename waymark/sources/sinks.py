@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,17 @@ def versioned(path: str, now: datetime | None = None) -> str:
     return f"{path.rstrip('/')}_{(now or datetime.now(UTC)):%Y%m%d_%H%M%S}"
 
 
+def backup(spark: SparkSession, path: str, now: datetime | None = None) -> str:
+    """Copies a file or folder beside itself, under a name with the time; returns it. Nothing is overwritten."""
+    to = f"{path.rstrip('/')}.backup_{(now or datetime.now(UTC)):%Y%m%d_%H%M%S}"
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    a, b = hadoop.Path(path), hadoop.Path(to)
+    files = a.getFileSystem(conf)
+    if files.exists(b) or not hadoop.FileUtil.copy(files, a, files, b, False, False, conf):
+        raise FileExistsError(to)
+    return to
+
+
 def request(uri: Column, prompt: Column, mime: str = "image/jpeg") -> Column:
     """The JSON of one request, properly escaped."""
     file = F.struct(F.struct(uri.alias("file_uri"), F.lit(mime).alias("mime_type")).alias("file_data"))
