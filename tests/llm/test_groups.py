@@ -348,6 +348,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.capture_id: r.response.payload.decode() for r in whole if r.response.warc_type == "response"} == {i: h or "" for i, _, h, _ in rows if i not in (5, 9)}
     assert all(r.request.record_id and r.metadata.record_id for r in whole)
     assert warc.digests(warc.round_trip(spark, d.limit(0))).count() == 0
+    # Attempts have files of their own: another run over the same folder leaves the archives that an index names as they were.
+    folder = "file://" + str(tmp_path / "twice")
+    first = warc.write_archives(d, folder).collect()
+    second = warc.write_archives(d, folder).collect()
+    assert first and not {r.path for r in first} & {r.path for r in second} and all(r.path.startswith(folder + "/") for r in first)
+    again = warc.assemble(warc.read_records(spark.createDataFrame(first, "path string, captures long, bytes long")))
+    assert again.count() == len(whole) == sum(r.captures for r in first)
 
 
 def test_repeated_pages(spark):

@@ -2,8 +2,9 @@
 the three through their WARC-Concurrent-To identifiers into one nested row per capture.
 
 Archives lie in a folder that driver and executors share and are written by pyarrow's file systems (file, hdfs, s3, gs).
-A task writes its archives under temporary names and moves them to final ones that depend on nothing but the partition, so
-a repeated task replaces its own files. Reading streams each archive record by record; no archive is held in memory.
+Every attempt of a task writes files of its own names, and the rows it returns name them: attempts that run at the same time
+or fail cannot touch each other's files, and the stored rows (the index) say which archives count. A file that no row names
+belongs to a lost attempt and is never read. Reading streams each archive record by record; no archive is held in memory.
 
 Defined results: null html is an empty payload; payloads shorter than MIN_REVISIT are always responses; equal rows (same
 page_id and payload) are captures of their own; an empty table gives no archive and no rows; extra columns are ignored."""
@@ -90,26 +91,22 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _store(folder)
         fs.create_dir(base, recursive=True)
-        context = TaskContext.get()
-        part, attempt = context.partitionId(), context.taskAttemptId()
-        made: list[tuple[str, str, int, int]] = []
+        part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
+        made: list[tuple[str, int, int]] = []
         out, written, captures, serial = None, 0, 0, 0
+        name = lambda: f"capture-{part:05d}-{len(made):04d}-{own}.warc.gz"
 
         def close() -> None:
             nonlocal out, written, captures
             if out is not None:
                 out.close()
-                temporary, final = f"{base}/.{attempt}-{part:05d}-{len(made):04d}", f"{base}/capture-{part:05d}-{len(made):04d}.warc.gz"
-                if fs.get_file_info(final).type != pafs.FileType.NotFound:  # an earlier attempt of this task
-                    fs.delete_file(final)
-                fs.move(temporary, final)
-                made.append((final, temporary, captures, written))
+                made.append((f"{folder.rstrip('/')}/{name()}", captures, written))  # with the folder's scheme, for readers
             out, written, captures = None, 0, 0
 
         for batch in batches:
             for page, uri, text, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    out = fs.open_output_stream(f"{base}/.{attempt}-{part:05d}-{len(made):04d}", compression=None)
+                    out = fs.open_output_stream(f"{base.rstrip('/')}/{name()}", compression=None)
                 data = capture(page, (part << 40) + serial, uri, text.encode("utf-8", "surrogatepass"), digest, refers)
                 serial += 1
                 out.write(data)
@@ -119,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                     close()
         close()
         if made:
-            yield pa.RecordBatch.from_pydict({"path": [x[0] for x in made], "captures": pa.array([x[2] for x in made], pa.int64()), "bytes": pa.array([x[3] for x in made], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": [x[0] for x in made], "captures": pa.array([x[1] for x in made], pa.int64()), "bytes": pa.array([x[2] for x in made], pa.int64())})
 
     return linked.mapInArrow(run, "path string, captures long, bytes long")
 
