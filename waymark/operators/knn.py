@@ -1,7 +1,7 @@
 """Nearest neighbours and similarity search.
 
-Two physical ways with one result; a caller that names none gets `columns` for a database of up to BROADCAST_ROWS rows, by a
-limited count, and `blocks` beyond. `columns`: the queries' rows meet the broadcast database, all in expressions. `blocks`: the queries, a bounded set taken in blocks, go to
+Two physical ways with one result: `columns` for a database of up to BROADCAST_ROWS rows, by a limited count, and `blocks`
+beyond, whatever the caller names; `blocks` may be named for small ones too. `columns`: the queries' rows meet the broadcast database, all in expressions. `blocks`: the queries, a bounded set taken in blocks, go to
 every partition of the database, which multiplies matrices and keeps its k best for each query; the partitions' lists are then
 ranked. The second moves k rows for each query and partition, whatever the database's size.
 
@@ -37,9 +37,9 @@ def search(queries: DataFrame, database: DataFrame, metric: str = "cosine", k: i
     if metric not in vectors.SIMILARITY:
         raise ValueError(f"unknown similarity metric: {metric}")
     q, d = queries.select("query_id", F.col("embedding").alias("qe")).where("qe is not null"), database.select("db_id", F.col("embedding").alias("de")).where("de is not null")
-    if way is None:
-        way = "columns" if d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "blocks"
-    if way == "blocks":
+    if way not in (None, "columns", "blocks"):
+        raise ValueError(f"unknown way: {way}")
+    if way == "blocks" or d.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         pairs = _blocks(q, d, metric, k, threshold, normalise)
     else:
         if normalise and metric in ("cosine", "dot_product"):

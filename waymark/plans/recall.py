@@ -14,7 +14,7 @@ def positives(queries: DataFrame, database: DataFrame, c: RecallConfig = RecallC
     return geo.within_radius(queries, database, c.positive_dist_threshold).select("query_id", "db_id")
 
 
-def evaluate(queries: DataFrame, database: DataFrame, truth: DataFrame, c: RecallConfig = RecallConfig(), way: str = "columns") -> tuple[DataFrame, DataFrame]:
+def evaluate(queries: DataFrame, database: DataFrame, truth: DataFrame, c: RecallConfig = RecallConfig(), way: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(recalls, predictions) of described queries against the database's descriptors."""
     predictions = knn.nearest(queries, database, max(c.recall_values), way)
     return metrics.recall_at(queries, predictions, truth, c.recall_values), predictions

@@ -14,7 +14,7 @@ from ..operators import dedup, knn, metrics, reshape
 from ..sources import images, sinks, tables
 
 
-def retrieve(queries: DataFrame, database: DataFrame, c: RetrievalConfig = RetrievalConfig(), k: int | None = None, way: str = "columns") -> DataFrame:
+def retrieve(queries: DataFrame, database: DataFrame, c: RetrievalConfig = RetrievalConfig(), k: int | None = None, way: str | None = None) -> DataFrame:
     """One row for each query: its description and coordinates, and k references with path, distance and coordinates.
 
     queries: (query_id, image_path, description, embedding); database: (db_id, path, embedding). Queries whose text is too long
