@@ -140,3 +140,19 @@ def test_polling_and_retries():
         jobs.retried(lambda: (_ for _ in ()).throw(OSError("down")), times=2, sleep=naps.append)
     with pytest.raises(KeyError):
         jobs.retried(lambda: {}["x"], sleep=naps.append)
+
+
+def test_json_arrays(spark, tmp_path):
+    df = spark.range(30).select("id", F.concat(F.lit("c"), "id").alias("caption"))
+    sinks.json_arrays(df.repartition(7).orderBy("id"), str(tmp_path / "a"))
+    back = spark.read.schema("id long, caption string").option("multiLine", True).json(str(tmp_path / "a"))
+    assert sorted(back.collect()) == sorted(df.collect())
+    sinks.json_arrays(df.limit(0), str(tmp_path / "none"))
+    assert spark.read.schema("id long, caption string").option("multiLine", True).json(str(tmp_path / "none")).count() == 0
+
+
+def test_manifest_of_many_files(spark, tmp_path):
+    spark.range(1000).orderBy("id").select(F.when(F.col("id") % 4 == 3, "").otherwise(F.concat("id", F.lit(".jpg"))).alias("value")).repartitionByRange(5, F.col("value")).sortWithinPartitions("value").write.text(str(tmp_path / "m"))
+    lines = [x for f in sorted((tmp_path / "m").glob("part-*")) for x in f.read_text().splitlines()]
+    got = {r.image_id: r.path for r in images.manifest(spark, str(tmp_path / "m"), "/d").collect()}
+    assert got == {i: f"/d/{x}" for i, x in enumerate(lines) if x}

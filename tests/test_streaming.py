@@ -50,3 +50,11 @@ def test_searched(spark, tmp_path):
     s = streams.files(spark, str(tmp_path / "q"), "query_id long, embedding array<float>")
     streams.searched(s, db, 1, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert sorted((r.query_id, r.db_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 0), (1, 1)]
+
+
+def test_ring_buffer_keeps_the_last_by_time(spark, tmp_path):
+    n = 25_000  # one micro-batch, several frames
+    spark.range(n).select(((F.col("id") * 7919) % n).alias("ts"), F.lit("a").alias("meter"), ((F.col("id") * 7919) % n).cast("double").alias("value")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = streams.files(spark, str(tmp_path / "in"), "ts long, meter string, value double")
+    row = run(streams.ring_buffer(s, 10), "w4", "update").first()
+    assert (row.n, row.total, row.latest) == (n, float(sum(range(n - 10, n))), float(n - 1))

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import columns, geography, matching, rows, search, training  # noqa: F401
+    from . import columns, files, geography, matching, rows, search, training  # noqa: F401

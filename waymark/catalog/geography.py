@@ -120,7 +120,10 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.nearest_references(q, R.database_points(spark, sf_dir), 3)
 
 
-@query(_WIDE + f" SELECT query_id, qp AS query_image_path, qe AS utm_east, qn AS utm_north, {_REFS} FROM p GROUP BY 1, 2, 3, 4")
+GEO_TOPK_WIDE = _WIDE + f" SELECT query_id, qp AS query_image_path, qe AS utm_east, qn AS utm_north, {_REFS} FROM p GROUP BY 1, 2, 3, 4"
+
+
+@query(GEO_TOPK_WIDE)
 def geo_topk_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir).withColumns({f"reference_{i}_distance": F.round(f"reference_{i}_distance", 6) for i in (1, 2, 3)})
 

@@ -97,8 +97,7 @@ def search_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, "cosine", threshold=0.25)
 
 
-@query(
-    f"""
+_RETRIEVED = f"""
 WITH {R.SQL_VECTORS}, t AS (
   SELECT query_id, q.embedding, text AS description, length(text) > 300 AS failed FROM q JOIN documents ON doc_id = query_id
 ), u AS (SELECT min(db_id) AS db_id FROM d GROUP BY embedding), s AS (
@@ -110,16 +109,27 @@ SELECT query_id, description AS query_description, failed, (SELECT count(*) FROM
   max(CASE WHEN r = 2 THEN {R.SQL_PATH.format(k="db_id")} END) AS reference_2_path, max(CASE WHEN r = 2 THEN round(1 - s, 6) END) AS reference_2_distance,
   max(CASE WHEN r = 3 THEN {R.SQL_PATH.format(k="db_id")} END) AS reference_3_path, max(CASE WHEN r = 3 THEN round(1 - s, 6) END) AS reference_3_distance
 FROM t LEFT JOIN p USING (query_id) GROUP BY 1, 2, 3"""
-)
-def retrieval_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = R.query_vectors(spark, sf_dir).join(R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("description")), "query_id")
     q = q.withColumn("image_path", R.path(F.col("query_id")))
     d = R.database_vectors(spark, sf_dir).withColumn("path", R.path(F.col("db_id")))
-    out = retrieval.retrieve(q, d, RetrievalConfig(), 3)
+    return retrieval.retrieve(q, d, RetrievalConfig(), 3)
+
+
+@query(_RETRIEVED)
+def retrieval_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _retrieved(spark, sf_dir)
     r = [F.round(f"reference_{i}_distance", 6).alias(f"reference_{i}_distance") for i in (1, 2, 3)]
     return out.select("query_id", "query_description", "failed", "n_matches", *[f"reference_{i}_path" for i in (1, 2, 3)], *r, "reference_1_utm_east", "reference_1_utm_north")
 
 
+@query(f"SELECT query_description AS query, 3 AS top_k, n_matches AS results_count, 'cosine' AS similarity_metric, 0.0::DOUBLE AS min_threshold FROM ({_RETRIEVED})")
+def search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.history(_retrieved(spark, sf_dir), RetrievalConfig(), 3).drop("timestamp")
+
+
 @query(
     f"""
 WITH {R.SQL_VECTORS}, t AS (SELECT query_id, text AS description, length(text) > 300 AS failed FROM q JOIN documents ON doc_id = query_id)

@@ -47,12 +47,12 @@ def replaced_paths(df: DataFrame, old: str, new: str, columns: list[str] | None
 
 
 def change_sample(df: DataFrame, old: str, new: str, columns: list[str], rows: int = 5, most_columns: int = 3) -> DataFrame:
-    """(column, before, after): the first changes of the first columns."""
+    """(column, before, after): the first changes of the first columns, in the order of the values."""
     from ..functions import paths
 
     out = None
     for c in columns[:most_columns]:
-        part = df.select(F.lit(c).alias("column"), F.col(c).alias("before"), paths.replaced(F.col(c), old, new).alias("after")).where("before <> after").limit(rows)
+        part = df.select(F.lit(c).alias("column"), F.col(c).alias("before"), paths.replaced(F.col(c), old, new).alias("after")).where("before <> after").orderBy("before").limit(rows)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -18,14 +18,14 @@ def read(spark: SparkSession, kind: str, *files: str, lines: bool = False) -> Da
 
 def caption_train(spark: SparkSession, path: str, image_root: str, prompt: str = "", max_words: int = 30) -> DataFrame:
     """(image, caption, img_id): captions normalised after the prompt, ids dense by first appearance."""
-    rows = read(spark, "caption_train", path).withColumn("pos", F.monotonically_increasing_id())
+    rows = read(spark, "caption_train", path).withColumn("pos", images.position())
     rows = lookup.dense_ids(rows, "image_id", "pos", "img_id")
     return rows.select(paths.joined(image_root, F.col("image")).alias("image"), text.with_prompt(text.caption(F.col("caption"), max_words), prompt).alias("caption"), "img_id")
 
 
 def retrieval_eval(spark: SparkSession, path: str, image_root: str, max_words: int = 30) -> tuple[DataFrame, DataFrame]:
     """(images, texts): (img_id, image) and (txt_id, img_id, caption) in the file's order."""
-    rows = read(spark, "retrieval_eval", path).withColumn("pos", F.monotonically_increasing_id())
+    rows = read(spark, "retrieval_eval", path).withColumn("pos", images.position())
     pictures, texts = lookup.caption_maps(rows, "pos", "caption")
     return pictures.withColumn("image", paths.joined(image_root, F.col("image"))), texts.withColumn("caption", text.caption(F.col("caption"), max_words))
 
@@ -65,5 +65,5 @@ def pretrain(spark: SparkSession, files: list[str], shards: list[str] = (), epoc
 
 def video(spark: SparkSession, path: str, root: str) -> DataFrame:
     """(video, caption, txt_id) of an object a line."""
-    rows = images.numbered(read(spark, "video", path, lines=True).withColumn("_o", F.monotonically_increasing_id()), "_o", "txt_id")
+    rows = images.numbered(read(spark, "video", path, lines=True).withColumn("_o", images.position()), "_o", "txt_id")
     return rows.select(F.concat(paths.joined(root, F.col("clip_name")), F.lit(".mp4")).alias("video"), "caption", "txt_id")

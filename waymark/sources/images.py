@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,10 +13,8 @@ COMMON = (".jpg", ".jpeg", ".png")
 ALL = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp")
 
 
-
-
 def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = COMMON, recursive: bool = True, case_sensitive: bool = False, require: bool = True) -> DataFrame:
-    """(path) of the images below a folder, each once. require: FileNotFoundError if there are none."""
+    """(path) of the images below a folder, each once; files without a byte are none. require: FileNotFoundError if there are none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     try:
         found = files.load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
@@ -33,10 +31,15 @@ def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = COMMON,
     return found
 
 
+def position() -> Column:
+    """Where a row of a file source stands: its file, its split, its place there. Only on what spark.read gives."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+
+
 def manifest(spark: SparkSession, listing: str, folder: str) -> DataFrame:
-    """(image_id, path) of a text file that names one image a line, in the file's order. One file is one ordered read: ids follow it."""
-    lines = spark.read.option("wholetext", "true").text(listing).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("i", "line"))
-    return lines.where(F.trim("line") != "").select(F.col("i").cast("long").alias("image_id"), F.concat(F.lit(folder.rstrip("/") + "/"), F.col("line")).alias("path"))
+    """(image_id, path) of text that names one image a line, in the file's order; blank lines count but give no row."""
+    lines = numbered(spark.read.text(listing).withColumn("_o", position()), "_o")
+    return lines.where(F.trim("value") != "").select("image_id", F.concat(F.lit(folder.rstrip("/") + "/"), F.col("value")).alias("path"))
 
 
 def numbered(images: DataFrame, order: str = "path", name: str = "image_id") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,21 @@ def requests(images: DataFrame, path: str, uri: str, prompt: str) -> None:
     images.select(request(F.col(uri), F.lit(prompt)).alias("value")).write.mode("overwrite").text(path)
 
 
+def json_arrays(df: DataFrame, path: str) -> None:
+    """An array of objects a file, as annotation files are, in as many files as tasks; sorted rows stay sorted over the files' names."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["["]})
+        begun = False
+        for batch in batches:
+            rows = [("," if begun or i else "") + x for i, x in enumerate(batch["value"])]
+            begun = begun or bool(rows)
+            yield pd.DataFrame({"value": pd.Series(rows, dtype=object)})
+        yield pd.DataFrame({"value": ["]"]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
 def report(query: Column, predictions: Column, positives: Column | None = None) -> Column:
     """The text report of a query: its path, its predictions' paths and its positives' paths."""
     parts = [F.lit("Query path:"), F.concat(query, F.lit("\n")), F.lit("Predictions paths:"), F.concat(F.array_join(predictions, "\n"), F.lit("\n"))]

@@ -41,11 +41,11 @@ def ring_buffer(stream: DataFrame, size: int) -> DataFrame:
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, values = state.get if state.exists else (0, [])
-        values = list(values)
-        for frame in frames:
-            new = frame.sort_values("ts")["value"].tolist()
-            n += len(new)
-            values = (values + new)[-size:]
+        last = pd.DataFrame({"ts": [], "value": []})
+        for frame in frames:  # a group comes in several frames, in no order
+            n += len(frame)
+            last = (pd.concat([last, frame[["ts", "value"]]]) if len(last) else frame[["ts", "value"]]).sort_values("ts", kind="stable").tail(size)
+        values = (list(values) + last["value"].tolist())[-size:]
         state.update((n, values))
         yield pd.DataFrame({"meter": [key[0]], "n": [n], "total": [float(sum(values))], "latest": [float(values[-1])]})
 
