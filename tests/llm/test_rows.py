@@ -307,3 +307,14 @@ def test_extraction_on_whole_pages():
         parts = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", re.sub("</?b>", "", re.sub(r"(?s)<!--.*?-->", "", inner)))
         want = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in parts]
         assert extract.content(page) == [x for x in want if x]
+
+
+def test_lexicon_is_made_of_the_patterns_words(docs):
+    special = bpe.Vocabulary(vocabulary_path()).special
+    texts = ["It's 42, it's 42!!\n\n  the end", "it's 42, the end\n\n", None, "", "x" * 100 + " " + "y" * 100] * 2
+    counts = Counter(w for t in texts for w in bpe._splitter(special)(t or ""))
+    want = {w for w, n in counts.items() if n > 1 and len(w) <= bpe.SHORT}
+    got = bpe.frequent_words(docs(list(enumerate(texts))), special)
+    assert len(got) == len(set(got)) and set(got) == want and {" 42", "'s", ",", "!!"} <= want
+    few = bpe.frequent_words(docs(list(enumerate(texts))), special, 5)
+    assert len(few) <= 5 and all(counts[w] >= max((counts[x] for x in want - set(few)), default=0) for w in few)

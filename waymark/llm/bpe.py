@@ -1,6 +1,6 @@
 """Byte-level BPE over a minimal acyclic transducer lexicon.
 
-Words of all documents are counted, and the most frequent ones (a parameter bounds how many) are compiled into a minimal
+Words of all documents, as the pattern splits them, are counted, and the most frequent ones (a parameter bounds how many) are compiled into a minimal
 acyclic automaton: equal suffixes share their states, each arc carries a number, and the numbers on a word's path add up to
 its place among the words, which gives its ids. The automaton is a file of flat arrays that executors map into memory.
 Words outside it are merged exactly, so the lexicon decides the speed and never the ids.
@@ -37,7 +37,7 @@ LEXICON_WORDS = 50_000
 #: Distinct words that a worker counts, or keeps ids of, before it starts afresh.
 CACHE_WORDS = 200_000
 TEXT_BLOCK = 1 << 21
-#: Bytes of a word that is merged along with others, and the rank of a pair that does not merge.
+#: Bytes of a word that is merged along with others (characters of one in the lexicon, at most), and the rank of a pair that does not merge.
 SHORT, NO_MERGE = 48, np.iinfo(np.int64).max
 
 
@@ -258,21 +258,21 @@ def _splitter(special: dict[str, int]):
 
 
 def frequent_words(docs: DataFrame, special: dict[str, int], limit: int = LEXICON_WORDS, text: str = "text") -> list[str]:
-    """The most frequent words of all documents, with the space before them; at most limit come to the driver.
+    """The most frequent words of all documents, as the pattern splits them; at most limit, of SHORT characters or less, come to the driver.
 
-    Words are counted between spaces, which is cheaper than the pattern and finds the same frequent ones. The least count that
-    a frequent word has follows from a histogram of the counts, so no task sends more than its share of the result."""
+    A worker sums what it reads before rows move. The least count that a frequent word has follows from a histogram of the
+    counts, so no task sends more than its share of the result."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = Counter()
+        words, seen = _splitter(special), Counter()
 
         def out() -> pd.DataFrame:
-            words = [w for w in seen if w.isalpha() and len(w) <= 32]
-            return pd.DataFrame({"word": objects(" " + w for w in words), "n": [seen[w] for w in words]})
+            some = [w for w in seen if len(w) <= SHORT]
+            return pd.DataFrame({"word": objects(some), "n": [seen[w] for w in some]})
 
         for batch in batches:
             for t in batch["text"]:
-                seen.update((t or "").split(" "))
+                seen.update(words(t or ""))
                 if len(seen) > CACHE_WORDS:
                     yield out()
                     seen.clear()
