@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import scratch
 
 #: Extensions of the recursive scan, and of the scan with six.
 COMMON = (".jpg", ".jpeg", ".png")
@@ -45,13 +46,18 @@ def manifest(spark: SparkSession, listing: str, folder: str) -> DataFrame:
 def numbered(images: DataFrame, order: str = "path", name: str = "image_id") -> DataFrame:
     """Dense ids from 0 in the order of a column.
 
-    Ranges are sorted in parallel; a range's ids start after the counts of the ranges before it, so no task sees all rows."""
+    Ranges are sorted in parallel; a range's ids start after the counts of the ranges before it, so no task sees all rows.
+    Rows are stored with their range and their place in it: the counts and the rows read the same ranges, which two
+    evaluations of one plan need not have (bounds are sampled, and adaptive execution merges ranges by their bytes)."""
+    spark, path = images.sparkSession, scratch(images.sparkSession)
     ranged = images.repartitionByRange(F.col(order)).sortWithinPartitions(order)
     local = ranged.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
-    local = local.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p"), 33))
+    local = local.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p"), 33)).drop("_m")
+    local.write.parquet(path)
+    local = spark.read.schema(local.schema).parquet(path)
     counts = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b")).cast("long")).drop("_m", "_p", "_i", "_b")
+    return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b")).cast("long")).drop("_p", "_i", "_b")
 
 
 def with_coordinates(images: DataFrame, path: str = "path", pattern: str = paths.STRICT, keep_unparsed: bool = False) -> DataFrame:
