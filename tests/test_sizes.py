@@ -55,3 +55,8 @@ def test_numbers_are_dense_where_rows_have_many_bytes(spark, small_partitions):
 @needs_tables
 def test_caption_explode(spark, small_partitions, tmp_path):
     same(spark, "caption_explode", repeated(tmp_path, 60, conversations="conv_id"))
+
+
+@needs_tables
+def test_annotations_retrieval(spark, small_partitions, tmp_path):
+    same(spark, "annotations_retrieval", repeated(tmp_path, 60, conversations="conv_id"))
