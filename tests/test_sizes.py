@@ -65,3 +65,8 @@ def test_annotations_retrieval(spark, small_partitions, tmp_path):
 @needs_tables
 def test_annotations_video(spark, small_partitions, tmp_path):
     same(spark, "annotations_video", repeated(tmp_path, 60, conversations="conv_id"))
+
+
+@needs_tables
+def test_manifest(spark, small_partitions, tmp_path):
+    same(spark, "manifest", repeated(tmp_path, 60, events="event_id"))
