@@ -70,3 +70,9 @@ def test_annotations_video(spark, small_partitions, tmp_path):
 @needs_tables
 def test_manifest(spark, small_partitions, tmp_path):
     same(spark, "manifest", repeated(tmp_path, 60, events="event_id"))
+
+
+@needs_tables
+def test_union_db_queries(spark, small_partitions, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")  # ranges are merged down to the parallelism, which a union divides
+    same(spark, "union_db_queries", repeated(tmp_path, 20, orders="o_orderkey", customer="c_custkey"))
