@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions import text, vectors
-from ..operators import dedup, knn, metrics
+from ..operators import dedup, knn, losses, metrics
 from ..plans import recall, retrieval
 from . import query
 from . import relations as R
@@ -248,10 +248,7 @@ WITH {R.SQL_VECTORS} SELECT query_id, db_id, round({_DOT} / greatest(({R.SQL_NOR
 FROM q, d"""
 )
 def cosface_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = R.query_vectors(spark, sf_dir).select("query_id", F.col("embedding").alias("a"), F.col("label").alias("la"))
-    d = R.database_vectors(spark, sf_dir).select("db_id", F.col("embedding").alias("b"), F.col("label").alias("lb"))
-    cos = vectors.cosine_clamped(F.col("a"), F.col("b"))
-    return q.repartition("query_id").join(F.broadcast(d)).select("query_id", "db_id", F.round(cos, 6).alias("cosine"), F.round(vectors.cosface(cos, F.col("la") == F.col("lb")), 6).alias("logit"))
+    return losses.cosface_logits(R.query_vectors(spark, sf_dir), R.database_vectors(spark, sf_dir), digits=6)
 
 
 @query("SELECT doc_id, coalesce(length(text) > 300, false) AS too_long_clip, coalesce(length(text) > 2000, false) AS too_long_blip FROM documents")
