@@ -26,8 +26,9 @@ def caption_train(spark: SparkSession, path: str, image_root: str, prompt: str =
 def retrieval_eval(spark: SparkSession, path: str, image_root: str, max_words: int = 30) -> tuple[DataFrame, DataFrame]:
     """(images, texts): (img_id, image) and (txt_id, img_id, caption) in the file's order."""
     rows = read(spark, "retrieval_eval", path).withColumn("pos", images.position())
+    rows = rows.withColumn("caption", F.transform("caption", lambda c: text.caption(c, max_words)))  # before rows move: what is left is shorter
     pictures, texts = lookup.caption_maps(rows, "pos", "caption")
-    return pictures.withColumn("image", paths.joined(image_root, F.col("image"))), texts.withColumn("caption", text.caption(F.col("caption"), max_words))
+    return pictures.withColumn("image", paths.joined(image_root, F.col("image"))), texts
 
 
 def caption_eval(spark: SparkSession, path: str, image_root: str) -> DataFrame:
